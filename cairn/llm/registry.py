@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from cairn.llm import sharding
+from cairn.llm import line_rules, mixing, sharding
 
 
 def queries() -> dict:
     """Name to query(spark, sf_dir)."""
-    return {"op1_hash_tree_sharding": sharding.op1_hash_tree_sharding}
+    return {
+        "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
+        "op4_sainte_lague_mix": mixing.op4_sainte_lague_mix,
+        "op8_line_frequency_rules": line_rules.op8_line_frequency_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {"op1_hash_tree_sharding": sharding.sql_op1()}
+    return {
+        "op1_hash_tree_sharding": sharding.sql_op1(),
+        "op4_sainte_lague_mix": mixing.sql_op4(),
+        "op8_line_frequency_rules": line_rules.sql_op8(),
+    }
