@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from cairn.llm import line_rules, mixing, sharding
+from cairn.llm import line_rules, mixing, near_dup, phrases, sharding
 
 
 def queries() -> dict:
     """Name to query(spark, sf_dir)."""
     return {
         "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
+        "op3_repeated_phrase_automata": phrases.op3_repeated_phrase_automata,
         "op4_sainte_lague_mix": mixing.op4_sainte_lague_mix,
         "op8_line_frequency_rules": line_rules.op8_line_frequency_rules,
+        "op9_hyperminhash_near_dup": near_dup.op9_hyperminhash_near_dup,
     }
 
 
