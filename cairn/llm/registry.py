@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import line_rules, mixing, near_dup, phrases, sharding
+from cairn.llm import archives, line_rules, mixing, near_dup, phrases, sharding
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_sainte_lague_mix": mixing.op4_sainte_lague_mix,
         "op8_line_frequency_rules": line_rules.op8_line_frequency_rules,
         "op9_hyperminhash_near_dup": near_dup.op9_hyperminhash_near_dup,
+        "op10_warc_index_merge": archives.op10_warc_index_merge,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_hash_tree_sharding": sharding.sql_op1(),
         "op4_sainte_lague_mix": mixing.sql_op4(),
         "op8_line_frequency_rules": line_rules.sql_op8(),
+        "op10_warc_index_merge": archives.sql_op10(),
     }
