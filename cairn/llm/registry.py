@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import archives, line_rules, mixing, near_dup, phrases, sharding
+from cairn.llm import archives, line_rules, mixing, near_dup, phrases, quality, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
         "op3_repeated_phrase_automata": phrases.op3_repeated_phrase_automata,
         "op4_sainte_lague_mix": mixing.op4_sainte_lague_mix,
+        "op6_ftrl_quality": quality.op6_ftrl_quality,
         "op8_line_frequency_rules": line_rules.op8_line_frequency_rules,
         "op9_hyperminhash_near_dup": near_dup.op9_hyperminhash_near_dup,
         "op10_warc_index_merge": archives.op10_warc_index_merge,
