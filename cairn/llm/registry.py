@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cairn.llm import archives, line_rules, mixing, near_dup, phrases, quality, sharding
+from cairn.llm import archives, language, line_rules, mixing, near_dup, phrases, quality, sharding
 
 
 def queries() -> dict:
     """Name to query(spark, sf_dir)."""
     return {
         "op1_hash_tree_sharding": sharding.op1_hash_tree_sharding,
+        "op2_language_evidence": language.op2_language_evidence,
+        "language_of_pages": language.language_of_pages,
         "op3_repeated_phrase_automata": phrases.op3_repeated_phrase_automata,
         "op4_sainte_lague_mix": mixing.op4_sainte_lague_mix,
         "op6_ftrl_quality": quality.op6_ftrl_quality,
