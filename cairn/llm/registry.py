@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import archives, language, line_rules, mixing, near_dup, phrases, quality, sharding
+from cairn.llm import archives, decontaminate, language, line_rules, mixing, near_dup, phrases, quality, sharding
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op3_repeated_phrase_automata": phrases.op3_repeated_phrase_automata,
         "op4_sainte_lague_mix": mixing.op4_sainte_lague_mix,
         "op6_ftrl_quality": quality.op6_ftrl_quality,
+        "op7_latent_decontamination": decontaminate.op7_latent_decontamination,
         "op8_line_frequency_rules": line_rules.op8_line_frequency_rules,
         "op9_hyperminhash_near_dup": near_dup.op9_hyperminhash_near_dup,
         "op10_warc_index_merge": archives.op10_warc_index_merge,

@@ -23,6 +23,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
+_BARE = _FOLDED.copy()
+_BARE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0
 _BASES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -90,10 +92,10 @@ def _layout(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8), offsets
 
 
-def pieces(column: pa.Array, fold: bool = False) -> Iterator[Piece]:
-    """The texts of an Arrow string column (null: no words); ``fold`` lower-cases A to Z."""
+def pieces(column: pa.Array, fold: bool = False, bare: bool = False) -> Iterator[Piece]:
+    """The texts of an Arrow string column (null: no words); ``fold`` lower-cases A to Z, ``bare`` also ignores ASCII punctuation at a word's end."""
     data, offsets = _layout(column)
-    table, low, n = (_FOLDED if fold else _BYTE), 0, len(column)
+    table, low, n = (_BARE if bare else _FOLDED if fold else _BYTE), 0, len(column)
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PIECE, "right")) - 1)
         high = min(high, n)
