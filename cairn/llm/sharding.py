@@ -12,6 +12,7 @@ rows get slots of their own.  Other columns of the input are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,8 +74,8 @@ def place(key: Column, tree: list[Leaf]) -> Column:
     return step(step(step(F.lit(0)))).cast("int")
 
 
-def assign(df: DataFrame, tree: list[Leaf], key: str = "doc_id", text: str = "text", grown: list[Leaf] | None = None) -> DataFrame:
-    """One row per input row: key, size, text_crc32, law, shard, slot and grown_shard."""
+def assign(df: DataFrame, tree: list[Leaf], key: str = "doc_id", text: str = "text", grown: list[Leaf] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: key, size, text_crc32, law, shard, slot, grown_shard and the columns to ``carry``."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(
         F.col(key),
@@ -83,10 +84,11 @@ def assign(df: DataFrame, tree: list[Leaf], key: str = "doc_id", text: str = "te
         F.lit("key").alias("law"),
         place(F.col(key), tree).alias("shard"),
         (place(F.col(key), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+        *[F.col(c).alias(f"_carried_{i}") for i, c in enumerate(carry)],
     )
     spread = hex_long(F.concat(F.lit("slot:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))), 4)
     out = running_total(rows, ["shard"], [F.col(key), F.col("text_crc32"), F.col("size")], F.lit(1), spread, SLOT_BUCKETS, "slot")
-    return out.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return out.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard", *[F.col(f"_carried_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
