@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import archives, decontaminate, language, line_rules, mixing, near_dup, phrases, quality, sharding
+from cairn.llm import archives, decontaminate, language, line_rules, mixing, near_dup, phrases, quality, secrets, sharding
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "language_of_pages": language.language_of_pages,
         "op3_repeated_phrase_automata": phrases.op3_repeated_phrase_automata,
         "op4_sainte_lague_mix": mixing.op4_sainte_lague_mix,
+        "op5_forest_secret_scan": secrets.op5_forest_secret_scan,
         "op6_ftrl_quality": quality.op6_ftrl_quality,
         "op7_latent_decontamination": decontaminate.op7_latent_decontamination,
         "op8_line_frequency_rules": line_rules.op8_line_frequency_rules,
