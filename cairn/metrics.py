@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +45,7 @@ class Metrics:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """All entries as a table."""
-        return spark.createDataFrame([tuple(asdict(e).values()) for e in self.entries], SCHEMA)
+        return spark.createDataFrame([(e.structure, e.operation, e.n, *map(float, (e.reads, e.writes, e.disk_accesses, e.time_ms))) for e in self.entries], SCHEMA)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the entries as JSON lines."""
