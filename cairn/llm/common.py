@@ -29,13 +29,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
-        atexit.register(shutil.rmtree, folder[len("file://"):], True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, folder[len("file://") :], True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

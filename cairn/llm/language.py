@@ -201,7 +201,7 @@ def of_documents(docs: DataFrame) -> DataFrame:
 
 def op2_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, and whether each is kept."""
-    found = of_documents(documents(spark, sf_dir))
+    found = of_documents(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return found.select("doc_id", "language", "language_confidence", "text_language", F.col("language_kept").alias("kept"))
 
 

@@ -82,7 +82,9 @@ def seats(parts: DataFrame) -> DataFrame:
         .where((F.col("seat") >= 0) & (down | (F.col("seat") < F.lit(MOST) * F.col("n"))))
         .withColumn("quotient", F.col("quota") / (2 * F.col("seat") + 1))
     )
-    first = Window.orderBy(F.when(up, -F.col("quotient")).otherwise(F.col("quotient")), "place", "shard")
+    # Of equal quotients the earlier part has its seat first, and loses it last.
+    turn = lambda c: F.when(up, F.col(c)).otherwise(-F.col(c))
+    first = Window.orderBy(-turn("quotient"), turn("place"), turn("shard"))
     moved = steps.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= F.abs("gap")).groupBy("place", "shard").agg(F.sum(F.signum("gap")).cast("long").alias("moved"))
     return parts.join(moved, ["place", "shard"], "left").withColumn("q", F.col("near") + F.coalesce("moved", F.lit(0))).drop("near", "gap", "moved")
 
