@@ -36,6 +36,8 @@ from cairn.llm.common import documents, sized_broadcast, store
 from cairn.llm.shingles import Piece, mix, pieces, powers, rolling
 
 WINDOW, PHRASE = 50, 20
+#: Ids that are broadcast at most.
+ID_ROWS = 300_000
 
 _U = np.uint64
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -196,6 +198,12 @@ def _rewritten(with_text: bool):
     return run
 
 
+def _only(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """The texts with ids in ``some``, before they are shuffled, where the ids are few enough to broadcast."""
+    ids = some.select("doc_id").distinct()
+    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if some.count() <= ID_ROWS else texts
+
+
 def repeated(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, text_hash and ``cut`` (begin, end, begin, end ... in words) of each text that loses words; ``df`` has doc_id, text, text_hash."""
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -203,9 +211,7 @@ def repeated(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataF
     anchors = store(texts.select("doc_id", "text").mapInArrow(_anchors(window, phrase), f"doc_id {kind}, anchor long"), "anchors")
     recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     own = store(anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "suspects")
-    known = own.count()
-    suspects = texts.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi") if known <= 300_000 else texts
-    located = suspects.join(own, "doc_id").select("doc_id", "text_hash", "text", "anchors")
+    located = _only(texts, own).join(own, "doc_id").select("doc_id", "text_hash", "text", "anchors")
     segments = store(located.mapInArrow(_located(window, phrase), f"doc_id {kind}, text_hash long, anchor long, one long, two long, low int, n int"), "segments")
 
     first = segments.groupBy("anchor", "one", "two").agg(F.min("doc_id").alias("first"))
@@ -214,7 +220,7 @@ def repeated(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataF
     several = first.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("first").alias("high")).where("kinds > 1 AND low < high").select("anchor")
     apart = later.where("doc_id = first").join(several, "anchor", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
     apart = store(apart, "apart")
-    each = texts.join(sized_broadcast(apart, apart.count(), 20_000), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spans")
+    each = _only(texts, apart).join(apart, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spans")
     each = store(each.mapInArrow(_windows(window), f"doc_id {kind}, text_hash long, one long, two long, low int"), "windows")
     least = each.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("one", "two", "first")
     single = each.join(least, ["one", "two"]).where("doc_id > first").select("doc_id", "text_hash", "low", F.lit(1).alias("n"))
