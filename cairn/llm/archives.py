@@ -38,7 +38,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import scratch_path, sized_broadcast, store
+from cairn.llm.common import bounded_batches, scratch_path, sized_broadcast, store
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 FAN_IN = 64
@@ -284,6 +284,7 @@ def captured(df: DataFrame, key: str = "page_id", url: str = "url", payload: str
 
 def archive(rows: DataFrame) -> DataFrame:
     """Write captured() rows as WARC files; the stored manifest has file and records."""
+    bounded_batches(rows.sparkSession)
     spark = rows.sparkSession
     return store(rows.mapInArrow(_write(scratch_path(spark, "warc")), "file string, records long"), "manifest")
 

@@ -22,6 +22,18 @@ SPACES = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 500_000
 
 
+#: Bytes of a batch that goes to a Python worker; rows may be long.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep batches for Python workers small in bytes, whatever the length of rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

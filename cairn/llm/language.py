@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, sized_broadcast, store
+from cairn.llm.common import bounded_batches, documents, sized_broadcast, store
 from cairn.llm.shingles import PIECE, _layout
 
 SLOTS = 1 << 14
@@ -160,6 +160,7 @@ def evidence_tables(rows: DataFrame, languages: Sequence[str]) -> tuple[DataFram
 
 def identify(df: DataFrame, text: Column, declared: Column, host: Column, domain: Column, suffix: Column, key: Column, accepted: Sequence[str] | None = None) -> DataFrame:
     """Add language, language_confidence, text_language and language_kept to every row of ``df``."""
+    bounded_batches(df.sparkSession)
     model = fit_text(df, text, declared, key)
     names = F.array(*map(F.lit, model.languages)) if model.languages else None
     if names is None:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, sized_broadcast, store
+from cairn.llm.common import bounded_batches, documents, sized_broadcast, store
 from cairn.llm.shingles import mix, pieces, shingle_sets
 
 BUCKETS, MANTISSA = 256, 10
@@ -228,6 +228,7 @@ def _links(k: int, fold: bool, percent: int):
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``df``."""
+    bounded_batches(df.sparkSession)
     texts = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = store(signed(texts, k, fold), "sketch")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))

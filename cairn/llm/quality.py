@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents
+from cairn.llm.common import bounded_batches, documents
 from cairn.llm.shingles import Piece, mix, pieces, powers
 
 SLOTS = 1 << 18
@@ -113,6 +113,7 @@ def fit(texts: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 def scored(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score of every row."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

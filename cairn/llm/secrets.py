@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents
+from cairn.llm.common import bounded_batches, documents
 from cairn.llm.shingles import Piece, pieces
 
 LEAST, LEAST_ASSIGNED = 16, 8
@@ -181,6 +181,7 @@ def train(spark: SparkSession, words: Dictionary, findings: list[tuple[str, str,
 
 def findings(df: DataFrame, words: Dictionary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, word number, candidate and features of every candidate."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
