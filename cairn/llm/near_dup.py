@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded_batches, documents, sized_broadcast, store
+from cairn.llm.common import bounded_batches, documents, store
 from cairn.llm.shingles import mix, pieces, shingle_sets
 
 BUCKETS, MANTISSA = 256, 10
@@ -44,6 +44,8 @@ LARGE, SMALL = 512, 640
 #: Rows and shingles of a family that are compared with as many others at once.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 600_000
 EMPTY = np.uint16(0xFFFF)
+#: Ids that are broadcast at most.
+ID_ROWS = 300_000
 
 _U = np.uint64
 _DRAWS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, BUCKETS), dtype=np.uint64) * _U(2) + _U(1)
@@ -241,7 +243,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, fold: bool = T
     member = store(reps.join(family, "rep").select("rep", "family", "n", "s1", "s2", "small", "large"), "member")
     blocks = member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     dealt = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    carried = texts.join(sized_broadcast(dealt.withColumnRenamed("rep", "doc_id"), member.count(), 50_000), "doc_id").withColumnRenamed("doc_id", "rep")
+    # Only ids are broadcast; the registers go with the shuffle.
+    ids = member.select(F.col("rep").alias("doc_id")).distinct()
+    own = texts.join(F.broadcast(ids), "doc_id", "left_semi") if member.count() <= ID_ROWS else texts
+    carried = own.join(dealt.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
     groups = carried.withColumn("pair", pair).select("family", "pair.i", "pair.j", "rep", "block", "small", "large", "text")
     groups = groups.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
