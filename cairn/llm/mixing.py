@@ -91,13 +91,15 @@ def seats(parts: DataFrame) -> DataFrame:
 
 def mix(sizes: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of ``measured``'s table."""
-    goal = targets(sizes)
+    # Both small tables are used more than once, so each is computed by itself and stored.
+    goal = store(targets(sizes), "targets")
     rows = sizes.join(F.broadcast(goal), sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     parts = sizes.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     parts = parts.join(F.broadcast(goal), parts["source"].eqNullSafe(goal["source"])).drop("source").where("words > 0")
     parts = parts.withColumn("n", F.greatest(F.round(F.col("words") / BLOCK), F.lit(1)).cast("long")).withColumn("quota", F.col("n") * F.col("target") / F.col("source_size"))
     offset = hex_long(F.concat(F.lit(SEED + ":"), F.col("place"), F.lit(":"), F.col("shard")), 8)
-    parts = seats(parts).select("place", "shard", "words", "n", "q", (offset % F.col("n")).alias("offset"))
+    parts = seats(store(parts, "parts")).select("place", "shard", "words", "n", "q", (offset % F.col("n")).alias("offset"))
+    parts = store(parts, "seats")
     rows = running_total(rows, ["place", "shard"], [F.col("rank"), F.col("doc_id"), F.col("size"), F.col("crc")], F.col("size"), F.conv(F.substring("rank", 5, 4), 16, 10).cast("long"), ORDER_BUCKETS, "begin")
     rows = rows.join(F.broadcast(parts), ["place", "shard"], "left")
     end = F.col("begin") + F.col("size")
