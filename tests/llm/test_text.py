@@ -208,6 +208,53 @@ def test_decontamination(spark, folder, awkward, empty):
     assert decontaminate.leaks(empty, none).count() == 0
 
 
+def _local_space(texts, items):
+    """Weights, basis and item block of a small corpus, without Spark."""
+    counts = np.zeros(decontaminate.SLOTS)
+    for text in texts:
+        counts[np.unique(np.concatenate([decontaminate._slot(p.words) for p in pieces(pa.array([text]), bare=True)]))] += 1
+    idf = np.log((1 + len(texts)) / (1 + counts)).astype(np.float32)
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((decontaminate.SLOTS, 72)))[0]
+    for _ in range(3):
+        basis = np.linalg.qr(decontaminate.gram(pa.array(texts + items), basis, idf))[0]
+    basis = np.ascontiguousarray(basis[:, :64].astype(np.float32))
+    return idf, basis, decontaminate.Items(list(range(len(items))), items, [None] * len(items), idf, basis)
+
+
+def brute_leaks(text, items, idf, basis):
+    """Items that stand around a window, by comparing every window with every item: with the cosine, and without it."""
+    (piece,) = pieces(pa.array([text]), bare=True)
+    slots, end, near, every = decontaminate._slot(piece.words), len(piece.words), set(), set()
+    for i, words in enumerate(items.words):
+        own = items.vectors[items.first[i] : items.first[i] + items.windows[i]]
+        for b in range(max(0, end - decontaminate.WINDOW) + 1):
+            around = piece.words[max(0, b - len(words)) : b + decontaminate.WINDOW + len(words)].tolist()
+            lcs = decontaminate.common_subsequence(words, around) / len(words)
+            answer = decontaminate.common_subsequence(items.answers[i], around) / len(items.answers[i])
+            if lcs >= decontaminate.COPY or (lcs >= decontaminate.PARAPHRASE and answer >= decontaminate.ANSWERED):
+                every.add(i)
+                vector = decontaminate._project(slots[b : b + decontaminate.WINDOW], np.array([0]), idf, basis)
+                if (vector @ own.T).max() >= decontaminate.COSINE + 1e-5:
+                    near.add(i)
+    return near, every
+
+
+@pytest.mark.parametrize("period", [2, 3, 4, 5, 8])
+def test_decontamination_replaced_words(period):
+    """One word in 2 to 8 replaced by a word of no item: all that brute force finds is found."""
+    rng = random.Random(period)
+    vocabulary = [f"w{i}" for i in range(800)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(10, 40))) for _ in range(30)]
+    docs = [prose(rng, 30) + " " + " ".join(f"new{rng.random()}" if k % period == period - 1 else w for k, w in enumerate(item.split())) + " " + prose(rng, 30) for item in items]
+    idf, basis, block = _local_space(docs + [prose(rng, 60) for _ in range(60)], items)
+    got = [{x["item_id"] for x in found} for found in decontaminate.search(pa.array(docs), block, idf, basis)]
+    pairs = [brute_leaks(doc, block, idf, basis) for doc in docs]
+    assert all(near <= found <= every for found, (near, every) in zip(got, pairs, strict=True))
+    near, every = (sum(len(p[k]) for p in pairs) for k in (0, 1))
+    print(f"1 in {period} replaced: found {sum(map(len, got))}, brute force with cosine {near}, without {every}")
+    assert near or not every
+
+
 def test_secrets(spark, awkward, empty):
     """The forest tells held-out findings apart; tokens are found and addresses are not."""
     plain = secrets.Dictionary({w: 9 for w in "the river stone house light water green cloud paper table chair service value".split()})
