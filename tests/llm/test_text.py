@@ -255,6 +255,17 @@ def test_decontamination_replaced_words(period):
     assert near or not every
 
 
+def test_decontamination_quote_before_copy():
+    """A document that quotes part of an item and later holds it whole is found by the later place."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(800)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(45)) for _ in range(30)]
+    docs = [" ".join(item.split()[:20]) + " " + prose(rng, 150) + " " + item for item in items]
+    idf, basis, block = _local_space([prose(rng, 60) for _ in range(60)] + docs, items)
+    got = decontaminate.search(pa.array(docs), block, idf, basis)
+    assert [[x["item_id"] for x in found if x["lcs"] == 1.0] for found in got] == [[i] for i in range(30)]
+
+
 def test_secrets(spark, awkward, empty):
     """The forest tells held-out findings apart; tokens are found and addresses are not."""
     plain = secrets.Dictionary({w: 9 for w in "the river stone house light water green cloud paper table chair service value".split()})
