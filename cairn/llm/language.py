@@ -2,8 +2,9 @@
 
 For each language the log probability adds up from
 
-* the text: byte trigrams under a multinomial model per language, learnt from at
-  most ``SAMPLE`` rows with a declared language, chosen by hash.  Trigrams of one
+* the text: byte trigrams under a multinomial model per language, learnt from
+  ``SAMPLE`` rows of each declared language, chosen by hash, or all if there are
+  fewer; languages whose rows hold no trigram are not listed.  Trigrams of one
   text depend on each other, so their sum counts as that of ``EFFECTIVE`` at most;
 * the declared language (a markup attribute or a column): how often rows of each
   text language declare it, counted over all rows and smoothed;
@@ -28,7 +29,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import bounded_batches, documents, sized_broadcast, store
@@ -81,13 +82,19 @@ class TextModel:
 
 
 def fit_text(df: DataFrame, text: Column, declared: Column, key: Column, sample: int = SAMPLE) -> TextModel:
-    """Learn the text models from at most ``sample`` declared rows."""
+    """Learn the text models from ``sample`` rows of each declared language, or all if there are fewer."""
     rows = df.select(declared.alias("declared"), F.xxhash64(key, text).alias("turn"), text.alias("text"))
-    languages = sorted(r.declared for r in rows.where("declared IS NOT NULL").groupBy("declared").count().where(F.col("count") >= LEAST_DECLARED).orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect())
+    declared_rows = {r.declared: r.n for r in rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DECLARED).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()}
+    languages = sorted(declared_rows)
     if not languages:
         return TextModel([], np.zeros((SLOTS, 0), np.float32))
-    few = rows.where(F.col("declared").isin(languages)).select("turn").distinct().orderBy("turn").limit(sample)
-    chosen = rows.where(F.col("declared").isin(languages)).join(F.broadcast(few), "turn")
+    # First by a share of the hashes that leaves a few more than enough, whatever the language's size; repeated rows are one.
+    enough = sample + 8 * sample**0.5 + 64
+    highest = {x: min((1 << 63) - 1, int(enough / n * 2.0**64) - (1 << 63)) for x, n in declared_rows.items()}
+    limit = F.create_map(*[y for x, n in highest.items() for y in (F.lit(x), F.lit(n).cast("long"))])
+    few = rows.where(F.col("declared").isin(languages) & (F.col("turn") <= limit[F.col("declared")])).groupBy("declared", "turn").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy("turn"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= sample)
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +110,8 @@ def fit_text(df: DataFrame, text: Column, declared: Column, key: Column, sample:
     counts = np.zeros((len(languages), SLOTS))
     for r in chosen.select("declared", "text").mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.lang, r.slot] = r.n
+    learnt = counts.sum(1) > 0
+    languages, counts = [x for x, some in zip(languages, learnt.tolist(), strict=True) if some], counts[learnt]
     table = np.log((counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * SLOTS)) + log(SLOTS)
     return TextModel(languages, np.ascontiguousarray(table.T.astype(np.float32)))
 

@@ -183,6 +183,18 @@ def test_language(spark, awkward, empty):
     assert language.of_documents(empty).count() == 0
 
 
+def test_language_rare(spark):
+    """A rare language is learnt from all its rows; one whose rows hold no text isn't listed."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("the and with that from this have".split()) for _ in range(12)), "en") for i in range(3000)]
+    rows += [(5000 + i, "kuin mutta olivat heidän sitten vielä", "fi") for i in range(8)] + [(6000 + i, None, "xx") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_text(df, F.col("text"), F.col("lang"), F.col("doc_id"), sample=100)
+    assert model.languages == ["en", "fi"]
+    fewer = language.fit_text(df.where("lang = 'fi'"), F.col("text"), F.col("lang"), F.col("doc_id"))
+    assert np.array_equal(model.table[:, 1:], fewer.table) and fewer.table.any()
+
+
 def test_pages(spark, folder):
     """Pages with broken addresses and markup have results."""
     assert language.language_of_pages(spark, folder).count() == 7
