@@ -1,7 +1,8 @@
 """Secret scans with a random forest against false positives (operator 5).
 
 1. Rules find candidates: words of ``LEAST`` bytes or more that mix letters and
-   digits, and values assigned to a credential's name.
+   digits, and values of ``LEAST_ASSIGNED`` characters or more assigned to a
+   credential's name, in the same word (each of them) or in the next.
 2. Each candidate is described by its length, its character transitions (class
    changes, and how surprising its letter pairs are), how much of it is covered
    by dictionary words, whether it looks like a path or an address, and the
@@ -50,6 +51,10 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "rk_li
 
 _ASSIGNED = re.compile(r"([A-Za-z_][A-Za-z0-9_\-.]*)\s*[=:]+\s*[\"'`]?(.*)$", re.S)
 _EDGES = "\"'`()[]{}<>,;:.!?=|#*$%&"
+_EACH = re.compile(r"([A-Za-z_][A-Za-z0-9_\-.]*)[\"'`]?[=:]+>?(?:\"([^\"]*)\"|'([^']*)'|[\"'`]?([^&;,\"'`{}\[\]]*))")
+_GIVES = re.compile(r"[\"'`({\[,]*([A-Za-z_][A-Za-z0-9_\-.]*)[\"'`]?[=:]+>?[\"'`]?")
+_SIGNS = ("=", ":", ":=", "=>", "==", "::", "is")
+_PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 _NAMES = ("length", "digits", "capitals", "signs", "changes", "distinct", "entropy", "surprise", "covered", "path", "prefix", "hexadecimal", "uuid", "assigned", "credential_before", "harmless_before", "credential_after", "harmless_after")
 
 
@@ -62,6 +67,47 @@ def core(word: str) -> tuple[str, str]:
     return "", word
 
 
+def is_credential(name: str) -> bool:
+    """Whether a name is a credential's, or ends in one, as in db_password or authToken."""
+    flat = re.sub(r"[_\-.]", "", name.lower())
+    parts = [x.lower() for x in _PARTS.findall(name)]
+    return any(x.removesuffix("s") in CREDENTIALS for x in [*parts, flat]) or flat.removesuffix("s").endswith(tuple(re.sub(r"[_\-]", "", c) for c in CREDENTIALS if len(c) > 4))
+
+
+def assignments(word: str) -> list[tuple[str, str]]:
+    """(name, value) of every assignment in a word; of an address, those of its query."""
+    if "://" in word:
+        word = word.partition("?")[2]
+    return [(m[1], (m[2] or m[3] or m[4] or "").strip(_EDGES)) for m in _EACH.finditer(word)]
+
+
+def found_in(word: str, assigned: bool) -> list[tuple[str, str]]:
+    """(name, value) of the candidates in a word; ``assigned`` if the words before name a credential for it."""
+    mixed = lambda x: any(c.isdigit() for c in x) and any(c.isalpha() for c in x)
+    name, value = core(word)
+    every = assignments(word)
+    out = []
+    if len(every) < 2 or "://" in word:
+        fits = len(word.encode()) >= LEAST and len(value) >= (LEAST_ASSIGNED if name else LEAST) and mixed(value)
+        if fits or (name and is_credential(name)) or (assigned and not name and len(value) >= LEAST_ASSIGNED):
+            out.append((name, value))
+    own = [(n.lower(), v) for n, v in every if len(v) >= LEAST_ASSIGNED and (is_credential(n) or (len(every) > 1 and "://" not in word and len(word.encode()) >= LEAST and mixed(v)))]
+    return out + [x for x in own if x not in out and not (out and out[0][0] == x[0])]
+
+
+def names_credential(words: list[str]) -> bool:
+    """Whether a text's last words assign what comes next to a credential's name."""
+    if not words:
+        return False
+    last = words[-1]
+    if last.strip(_EDGES).lower() == "bearer":
+        return True
+    if last.lower() in _SIGNS:
+        return len(words) > 1 and is_credential(words[-2].strip(_EDGES))
+    found = _GIVES.fullmatch(last)
+    return bool(found) and is_credential(found[1])
+
+
 class Dictionary:
     """Words, and how usual each pair of letters is in them."""
 
@@ -112,15 +158,27 @@ def candidates(piece: Piece) -> Iterator[tuple[int, int, str, str, list[str], li
     digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
     letter = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 122))])
     s, e = piece.starts, piece.ends
-    marked = np.flatnonzero((e - s >= LEAST) & (digit[e] > digit[s]) & (letter[e] > letter[s]))
+    sign = np.concatenate([[0], np.cumsum((data == 61) | (data == 58))])
+    signed = sign[e] > sign[s]
+    lower = lambda k: data[np.minimum(s + k, max(0, len(data) - 1))] | 32
+    verb = (e - s == 2) & (lower(0) == 105) & (lower(1) == 115)
+    bearer = (e - s >= 6) & (e - s <= 12) & np.logical_or.reduce([(lower(k) == 98) & (lower(k + 1) == 101) & (lower(k + 2) == 97) & (lower(k + 3) == 114) for k in range(3)]) if len(s) else verb
+    gives = signed | verb | bearer
+    marked = signed | ((e - s >= LEAST) & (digit[e] > digit[s]) & (letter[e] > letter[s]))
+    marked[1:] |= gives[:-1]
+    marked = np.flatnonzero(marked)
     rows = np.searchsorted(piece.first, marked, "right") - 1
     word = lambda i: data[s[i] : e[i]].tobytes().decode("utf-8", "replace")
     for i, r in zip(marked.tolist(), rows.tolist(), strict=True):
-        name, value = core(word(i))
-        if len(value) < (LEAST_ASSIGNED if name else LEAST) or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            continue
         low, high = int(piece.first[r]), int(piece.first[r + 1])
-        yield r + piece.low, i - low, name, value, [word(j) for j in range(max(low, i - AROUND), i)], [word(j) for j in range(i + 1, min(high, i + 1 + AROUND))]
+        assigned = i > low and bool(gives[i - 1]) and names_credential([word(j) for j in range(max(low, i - 2), i)])
+        if not (assigned or signed[i] or e[i] - s[i] >= LEAST):
+            continue
+        found = found_in(word(i), assigned)
+        if found:
+            before, after = [word(j) for j in range(max(low, i - AROUND), i)], [word(j) for j in range(i + 1, min(high, i + 1 + AROUND))]
+            for name, value in found:
+                yield r + piece.low, i - low, name, value, before, after
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: list[str] | None = None) -> list[tuple[str, str, str, int]]:

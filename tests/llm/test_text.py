@@ -297,6 +297,17 @@ def test_secrets(spark, awkward, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_candidates():
+    """Short values, values in the next word or without digits, and every assignment of a word are candidates."""
+    want = {
+        "use pwd=abc12345 now": ["abc12345"], "password: s3cretPass9 ok": ["s3cretPass9"], "password=CorrectHorseBattery": ["CorrectHorseBattery"], 'token = "k3j4h5g6f7d8"': ["k3j4h5g6f7d8"], "the key is abcdefgh12 here": ["abcdefgh12"],
+        '{"user":"bob","password":"s3cretPass9","apiKey":"zyxw9876vuts"}': ["s3cretPass9", "zyxw9876vuts"], "https://a.example.com/x?user=bob&token=abcd1234efgh&secret=qwer5678tyui": ["https://a.example.com/x?user=bob&token=abcd1234efgh&secret=qwer5678tyui", "abcd1234efgh", "qwer5678tyui"],
+        "Authorization: Bearer tokentokentoken": ["tokentokentoken"], "author: Jonathansson wrote note: something": [], "pwd=short": [], "password:": [], "a = b": [],
+    }
+    for text, values in want.items():
+        assert [c[3] for p in pieces(pa.array([text])) for c in secrets.candidates(p)] == values, text
+
+
 def test_archives(spark, folder, monkeypatch):
     """Records survive the round trip; histories are in order over several ranges and rounds of merging."""
     got = archives.op10_warc_index_merge(spark, folder).collect()
