@@ -10,7 +10,8 @@
 3. A random forest trained from labelled findings scores them; those under
    ``CUT`` are false positives.
 
-The dictionary holds frequent words of at most ``SAMPLE`` texts, chosen by hash.
+The dictionary holds the words that stand in two texts at least and in
+``LEAST_SHARE`` of all texts; every text is counted.
 Labelled findings are a table of before, candidate, after, label; without one,
 ``labelled_findings`` makes ``FINDINGS`` seeded examples of known kinds.
 
@@ -26,6 +27,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,8 @@ from cairn.llm.common import bounded_batches, documents
 from cairn.llm.shingles import Piece, pieces
 
 LEAST, LEAST_ASSIGNED = 16, 8
-SAMPLE = 2000
+#: Texts that a word of the dictionary stands in, of all texts: at most (distinct words of a text) / LEAST_SHARE words.
+LEAST_SHARE = 1e-4
 FINDINGS = 4000
 TREES, DEPTH, SEED = 40, 8, 5
 CUT = 0.5
@@ -218,13 +221,13 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: list[str] | No
     return out
 
 
-def dictionary(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Dictionary:
-    """Words of three letters or more that stand in two of at most ``sample`` texts."""
-    rows = df.select(F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("turn")).where("text IS NOT NULL")
-    few = rows.select("turn").distinct().orderBy("turn").limit(sample)
-    words = rows.join(F.broadcast(few), "turn").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,24}"), 0))).alias("word"))
-    # The sample bounds what comes to the driver.
-    return Dictionary({r.word: r.n for r in words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(20_000).collect()})
+def dictionary(df: DataFrame, text: str = "text") -> Dictionary:
+    """Words of three letters or more, not parts of tokens, that stand in two texts and ``LEAST_SHARE`` of all texts."""
+    rows = df.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}])\p{L}{3,24}(?![\p{L}\p{N}])"), 0))).alias("word"))
+    least = max(2, ceil(LEAST_SHARE * rows.count()))
+    # The share bounds what comes to the driver.
+    return Dictionary({r.word: r.n for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).toLocalIterator()})
 
 
 def train(spark: SparkSession, words: Dictionary, findings: list[tuple[str, str, str, int]]) -> RandomForestClassificationModel:

@@ -308,6 +308,14 @@ def test_secret_candidates():
         assert [c[3] for p in pieces(pa.array([text])) for c in secrets.candidates(p)] == values, text
 
 
+def test_secret_dictionary(spark):
+    """Every text counts: words that stand in two of 4,000 texts are in the dictionary, those of one text and parts of tokens are not."""
+    rare = ["rare" + chr(97 + i) * 3 for i in range(20)]
+    texts = [f"the river {rare[i // 2]}" if i < 40 else f"the river once{''.join(chr(97 + int(c)) for c in str(i))} 1abc2" for i in range(4000)]
+    words = secrets.dictionary(spark.createDataFrame([(x,) for x in texts], "text string")).words
+    assert words == {"the", "river", *rare}
+
+
 def test_archives(spark, folder, monkeypatch):
     """Records survive the round trip; histories are in order over several ranges and rounds of merging."""
     got = archives.op10_warc_index_merge(spark, folder).collect()
