@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ from cairn.errors import AlreadyExists, EngineError
 from cairn.operators import relational as R
 from cairn.operators import spatial
 from cairn.plans import layout
-from cairn.plans.catalog import Catalog, Table
+from cairn.plans.catalog import KEEP_SECONDS, Catalog, Table
 from cairn.plans.planner import Planner
 from cairn.sources import csvio
 from cairn.sqlfront import ast
@@ -24,6 +25,22 @@ from cairn.types import DEFAULTS, coerce, comparable
 LOCK_TIMEOUT = 60.0
 
 
+#: Types of DataFrames that the dialect has types for.
+KINDS = {"int": "INT", "double": "FLOAT", "string": "TEXT", "bigint": "INT", "float": "FLOAT", "smallint": "INT", "tinyint": "INT"}
+
+
+def fitted(table: Table, df: DataFrame) -> DataFrame:
+    """``df`` with a table's columns and types; whole numbers have to fit INT, and text is never read as a number."""
+    given = dict(df.dtypes)
+    if set(given) != {c["name"] for c in table.columns} or len(given) < len(df.columns):
+        raise EngineError(f"table {table.name} has columns {[c['name'] for c in table.columns]}, not {df.columns}")
+    fits = {"INT": ("INT",), "FLOAT": ("INT", "FLOAT"), "TEXT": ("TEXT",)}
+    bad = [c["name"] for c in table.columns if KINDS.get(given[c["name"]]) not in fits[c["type"]]]
+    if bad:
+        raise EngineError(f"columns {bad} don't fit their types in table {table.name}")
+    return df.select(*[R.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in table.schema().fields])
+
+
 @dataclass
 class Result:
     """What a statement did: rows as a lazy DataFrame, or a count of rows changed."""
@@ -37,9 +54,10 @@ class Result:
 class Engine:
     """Tables of one warehouse."""
 
-    def __init__(self, spark: SparkSession, warehouse: str, csv_folders: tuple[str, ...] = (), hooks: dict[str, Callable[[ast.Statement], Result | None]] | None = None) -> None:
+    def __init__(self, spark: SparkSession, warehouse: str, csv_folders: tuple[str, ...] = (), hooks: dict[str, Callable[[ast.Statement], Result | None]] | None = None, file_rows: int = layout.FILE_ROWS, keep_seconds: float = KEEP_SECONDS) -> None:
         self.spark, self.catalog, self.locks = spark, Catalog(spark, warehouse), LockManager()
         self.csv_folders, self.hooks = csv_folders, hooks or {}
+        self.file_rows, self.keep_seconds = file_rows, keep_seconds
         self.planner = Planner(self.catalog.read)
 
     def register(self, name: str, path: str) -> None:
@@ -118,32 +136,36 @@ class Engine:
             rows = csvio.load(self.spark, csvio.find(s.file, self.csv_folders), table.columns, table.sizes)
         else:
             rows = self.spark.createDataFrame([], table.schema())
-        return Result("CREATE_TABLE", affected=self._replace(table, rows, new=True))
+        return Result("CREATE_TABLE", affected=self._replace(table, rows, new=True, about=None if s.file else 0))
 
     def create_from(self, name: str, df: DataFrame, index: str = "HEAP", key: str | None = None) -> int:
         """A table of INT, FLOAT and TEXT columns from a DataFrame; wider whole numbers have to fit INT."""
-        kinds = {"int": "INT", "double": "FLOAT", "string": "TEXT", "bigint": "INT", "float": "FLOAT", "smallint": "INT", "tinyint": "INT"}
-        bad = [c for c, t in df.dtypes if t not in kinds]
+        bad = [c for c, t in df.dtypes if t not in KINDS]
         if bad:
             raise EngineError(f"columns {bad} have no type of the dialect")
-        table = Table(name, [{"name": c, "type": kinds[t], "index": index if c == key else None} for c, t in df.dtypes], index, key or df.columns[0])
+        table = Table(name, [{"name": c, "type": KINDS[t], "index": index if c == key else None} for c, t in df.dtypes], index, key or df.columns[0])
         if name in self.catalog.tables:
             raise AlreadyExists(f"table {name} exists")
-        return self._replace(table, df.select(*[R.col(f.name).cast(f.dataType) for f in table.schema().fields]), new=True)
+        return self._replace(table, fitted(table, df), new=True)
 
     def _replace(self, table: Table, rows: DataFrame, new: bool = False, about: int | None = None) -> int:
-        """Write the next version, then name it in the catalog; returns its number of rows."""
+        """Write the next version, then name it in the catalog; returns its number of rows.
+
+        ``about`` says how many rows there are; without it, a layout that deals
+        rows to files counts them first.
+        """
         version = table.version + (not new)
         path = self.catalog.path(table, version)
         self.catalog.remove(path)  # what a failed attempt may have left
-        layout.write(rows, path, table.index, table.key, about or 1)
-        old = None if new else self.catalog.path(table)
-        table.version, table.deltas = version, 0
+        if about is None:
+            about = rows.count() if table.index != "HEAP" else 0
+        layout.write(rows, path, table.index, table.key, about, self.file_rows)
+        old = [] if new else self.catalog.folders(table)
+        table.version, table.deltas, table.parts = version, 0, []
+        self.catalog.retire(table, old, self.keep_seconds)
         if new:
             self.catalog.add(table)
         self.catalog.save()
-        if old and version > 1:
-            self.catalog.remove(self.catalog.path(table, version - 2))  # readers may still have the last version open
         return self.catalog.read(table.name).count()  # from the files' footers
 
     def _insert(self, s: ast.Insert) -> Result:
@@ -155,18 +177,30 @@ class Engine:
             row = [coerce(c["type"], v, c["name"]) for c, v in zip(table.columns, values, strict=False)]
             row += [DEFAULTS[c["type"]] for c in table.columns[len(row) :]]
             rows.append(tuple(v[: table.sizes[c["name"]]] if isinstance(v, str) and c["name"] in table.sizes else v for c, v in zip(table.columns, row, strict=True)))
-        self.append(s.table, self.spark.createDataFrame(rows, table.schema()))
+        self.append(s.table, self.spark.createDataFrame(rows, table.schema()).coalesce(1))  # what a statement spells out
         return Result("INSERT", affected=len(rows))
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows as small files; after many of them the table is written anew."""
+    def append(self, name: str, rows: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """Add rows in a folder of their own; after many of them the table is written anew.
+
+        Columns go by name and are cast as create_from() does.  The catalog names
+        the folder, and the (stream, number) of a ``batch``, in one step, so a
+        batch is added once however often it is tried; returns whether it was.
+        """
         table = self._own(name)
-        rows.coalesce(1).write.mode("append").parquet(self.catalog.path(table))
+        if batch and batch[1] <= table.batches.get(batch[0], -1):
+            return False
+        part = f"v={table.version}-{uuid.uuid4().hex}"
+        fitted(table, rows).write.parquet(f"{self.catalog.warehouse}/{name}/{part}")
+        table.parts.append(part)
         table.deltas += 1
+        if batch:
+            table.batches[batch[0]] = batch[1]
         if table.deltas >= layout.MOST_DELTAS:
             self.compact(name)
         else:
             self.catalog.save()
+        return True
 
     def compact(self, name: str) -> int:
         """Write the table anew in its layout."""

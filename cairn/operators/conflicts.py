@@ -2,12 +2,14 @@
 
 A log has a row per request: tx, seq (its global order), op (X writes, S reads),
 resource.  Locks are held to the end of the log unless ``until`` says when a
-transaction ended.
+transaction ended.  ``conflicts`` lists pairs, whose number is the square of a
+resource's requests while nothing ends; ``conflict_counts`` counts them in one
+sort, whatever their number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.workspace import workspace
@@ -31,6 +33,35 @@ def conflicts(log: DataFrame, until: DataFrame | None = None) -> DataFrame:
     return pairs.withColumn("conflict", F.concat_ws("-", letter("req_op"), letter("held_op"))).drop("req_op", "held_op")
 
 
+#: Numbers of one bucket of a resource's requests.
+BUCKET = 1 << 16
+
+
+def conflict_counts(log: DataFrame) -> DataFrame:
+    """resource, conflict, n: how many pairs conflicts() lists without ``until``, counted and not listed.
+
+    A request conflicts with all earlier ones of its resource but its own
+    transaction's.  Running totals are taken in two steps, within buckets of
+    ``seq`` and over the buckets' sums, so a hot resource is no single task's.
+    """
+
+    def earlier(keys: list[str], name: str) -> DataFrame:
+        rows = counted.withColumn("_bucket", F.floor(F.col("seq") / BUCKET))
+        within = Window.partitionBy(*keys, "_bucket").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+        over = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = rows.groupBy(*keys, "_bucket").agg(F.sum("x").alias("_x"), F.sum("s").alias("_s"))
+        sums = sums.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_{k}").over(over), F.lit(0)).alias(f"_{k}") for k in "xs"])
+        return rows.join(sums, [*keys, "_bucket"]).select("tx", "seq", "resource", "x", "s", *[(F.col(f"_{k}") + F.coalesce(F.sum(k).over(within), F.lit(0))).alias(f"{name}_{k}") for k in "xs"])
+
+    counted = log.where("resource IS NOT NULL").groupBy("tx", "seq", "resource").agg(F.sum((F.col("op") == "X").cast("long")).alias("x"), F.sum((F.col("op") == "S").cast("long")).alias("s"))
+    key = ["tx", "seq", "resource"]
+    both = earlier(["resource"], "all").join(earlier(["resource", "tx"], "own").drop("x", "s"), key)
+    others = {k: F.col(f"all_{k}") - F.col(f"own_{k}") for k in "xs"}
+    kinds = {"W-W": F.col("x") * others["x"], "W-R": F.col("x") * others["s"], "R-W": F.col("s") * others["x"]}
+    sums = both.groupBy("resource").agg(*[F.sum(v).alias(k) for k, v in kinds.items()])
+    return sums.unpivot("resource", list(kinds), "conflict", "n").where("n > 0")
+
+
 def waits(pairs: DataFrame) -> DataFrame:
     """The wait-for graph of conflicts: waiter, holder."""
     return pairs.select(F.col("req_tx").alias("waiter"), F.col("held_tx").alias("holder")).distinct()
@@ -43,7 +74,6 @@ def deadlocked(edges: DataFrame) -> DataFrame:
     and are cut off until none is left to cut.
     """
     workspace(edges.sparkSession)
-    workspace(edges.sparkSession)
     edges = edges.where("waiter IS NOT NULL AND holder IS NOT NULL").distinct().checkpoint()
     count = edges.count()
     while count:

@@ -16,8 +16,8 @@ from cairn.workspace import workspace
 # Recognised names of coordinate columns.
 LATITUDE = ("lat", "latitude", "latitud")
 LONGITUDE = ("lon", "lng", "longitude", "longitud")
-#: Ranges in which global ranks are counted.
-RANGES = 64
+#: Rows of a range in which global ranks are counted, about.
+RANGE_ROWS = 1_000_000
 
 
 def coordinates(schema: T.StructType) -> tuple[str, str]:
@@ -44,29 +44,36 @@ def nearest(df: DataFrame, x: str, y: str, cx: float, cy: float, k: int, keep_di
     return rows if keep_distance else rows.drop("dist")
 
 
-def tiles(df: DataFrame, by: str, tie: str, n: int, name: str) -> DataFrame:
+def tiles(df: DataFrame, by: str, tie: str, n: int, name: str, rows: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``name``: ntile(n) over all rows ordered by (by, tie), without taking all rows to one task.
 
-    Rows are dealt to ranges between approximate quantiles; a row's rank is its
-    rank within its range plus the rows of the ranges before.
+    ``rows`` is how many there are, if known.  They are dealt to ranges of
+    (by, tie), as many as their number asks for, and stored in the shared folder;
+    equal coordinates are dealt by their ties.  A row's rank is its rank within
+    its range plus the rows of the ranges before.
     """
-    marks = [m for m in df.approxQuantile(by, [i / RANGES for i in range(1, RANGES)], 0.01)] if n > 1 else []
-    marks = sorted(set(marks))
-    part = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(by))) if marks else F.lit(0)
-    rows = df.withColumn("_part", F.coalesce(F.when(F.col(by).isNull(), F.lit(-1)), part))
-    counts = rows.groupBy("_part").count()  # at most RANGES + 1 rows
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_part", before.alias("_before"), F.sum("count").over(Window.partitionBy()).alias("_all"))
-    rows = rows.join(F.broadcast(counts), "_part")
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(by, tie)) - 1 + F.col("_before")
-    size, more = F.floor(F.col("_all") / n), F.col("_all") % n
-    tile = F.when(rank < more * (size + 1), F.floor(rank / (size + 1))).otherwise(more + F.floor((rank - more * (size + 1)) / F.greatest(size, F.lit(1))))
-    return rows.withColumn(name, (tile + 1).cast("int")).drop("_part", "_before", "_all")
-
-
-def leaf_tiles(df: DataFrame, x: str, y: str, tie: str, slices: int, per_slice: int) -> DataFrame:
+    total = df.count() if rows is None else rows
+    ranges = max(1, ceil(total / range_rows))
+    order = [F.col(f"`{by}`"), F.col(f"`{tie}`")]
+    if ranges == 1:
+        rank = F.row_number().over(Window.orderBy(*order)) - 1
+        ranked = df
+    else:
+        workspace(df.sparkSession)
+        # Ranges are sampled, so what a row's range is has to be written down.
+        ranked = df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+        counts = ranked.groupBy("_part").count()  # a row per range
+        before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = ranked.join(counts.select("_part", before.alias("_before")), "_part")
+        rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
+    size, more = divmod(total, n)
+    tile = F.when(rank < more * (size + 1), F.floor(rank / (size + 1))).otherwise(more + F.floor((rank - more * (size + 1)) / max(size, 1)))
+    return ranked.withColumn(name, (tile + 1).cast("int")).drop("_part", "_before")
+
+
+def leaf_tiles(df: DataFrame, x: str, y: str, tie: str, slices: int, per_slice: int, total: int | None = None) -> DataFrame:
     """Sort-tile-recursive leaves: slices by x, then tiles by y within each (Leutenegger et al. 1997)."""
-    rows = tiles(df, x, tie, slices, "sl")
+    rows = tiles(df, x, tie, slices, "sl", total)
     return rows.withColumn("tl", F.ntile(per_slice).over(Window.partitionBy("sl").orderBy(y, tie)))
 
 
@@ -100,7 +107,7 @@ def box_hierarchy(df: DataFrame, x: str, y: str, capacity: int, inner: int = INN
         c = capacity if height == 0 else inner
         wanted = ceil(n / c)
         slices = ceil(sqrt(wanted))
-        boxes = leaf_tiles(nodes, "x", "y", "id", slices, ceil(wanted / slices)).groupBy("sl", "tl").agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.count("*").alias("n_entries"))
+        boxes = leaf_tiles(nodes, "x", "y", "id", slices, ceil(wanted / slices), n).groupBy("sl", "tl").agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.count("*").alias("n_entries"))
         boxes = boxes.withColumn("id", F.xxhash64(F.lit(height), "sl", "tl")).checkpoint()
         levels.append(boxes)
         nodes = boxes.select(((F.col("min_x") + F.col("max_x")) / 2).alias("x"), ((F.col("min_y") + F.col("max_y")) / 2).alias("y"), "id", "min_x", "min_y", "max_x", "max_y")

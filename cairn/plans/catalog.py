@@ -1,14 +1,17 @@
 """The catalog: tables as versioned Parquet folders, and a record of them that is replaced as a whole.
 
 ``warehouse/_catalog/N.json`` is the record's Nth version; the highest counts.
-``warehouse/<table>/v=N`` is a version of a table.  A write goes to a new
-version, or adds files to the current one, before the record names it, so a
-reader always has a whole table.  All paths go through Hadoop's file systems.
+``warehouse/<table>/v=N`` is a version of a table, and ``v=N-<id>`` rows appended
+to it.  A write goes to a folder of its own before the record names it, so a
+reader always has a whole table, and a write that breaks off leaves nothing that
+is read.  A replaced version stays for ``KEEP_SECONDS``, so a result that was
+planned before can still be read.  All paths go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -19,6 +22,8 @@ from cairn.errors import AlreadyExists, EngineError, NotFound
 from cairn.types import SPARK_TYPES
 
 LAYOUTS = ("HEAP", "SEQUENTIAL", "HASH", "BPLUSTREE", "RTREE")
+#: How long a replaced version can still be read.
+KEEP_SECONDS = 3600.0
 
 
 @dataclass
@@ -31,6 +36,9 @@ class Table:
     key: str | None = None
     version: int = 0
     deltas: int = 0
+    parts: list[str] = field(default_factory=list)
+    batches: dict[str, int] = field(default_factory=dict)
+    retired: list[list] = field(default_factory=list)
     sizes: dict[str, int] = field(default_factory=dict)
     external: str | None = None
 
@@ -105,7 +113,19 @@ class Catalog:
         table = self.get(name)
         if table.external:
             return self.spark.read.parquet(table.external)
-        return self.spark.read.schema(table.schema()).parquet(self.path(table))
+        return self.spark.read.schema(table.schema()).parquet(*self.folders(table))
+
+    def folders(self, table: Table) -> list[str]:
+        """The folders of a table's current rows: its version and what was appended."""
+        return [self.path(table), *[f"{self.warehouse}/{table.name}/{part}" for part in table.parts]]
+
+    def retire(self, table: Table, folders: list[str], keep: float = KEEP_SECONDS) -> None:
+        """Note folders that are no longer read, and delete those noted long enough ago."""
+        now = time.time()
+        table.retired += [[folder, now] for folder in folders]
+        for folder, since in [x for x in table.retired if now - x[1] >= keep]:
+            self.remove(folder)
+        table.retired = [x for x in table.retired if now - x[1] < keep]
 
     def remove(self, path: str) -> None:
         """Delete a folder of this warehouse."""

@@ -12,6 +12,7 @@ from cairn import metrics
 from cairn.engine import Engine
 from cairn.operators import conflicts as C
 from cairn.operators import spatial
+from cairn.plans import table_queries
 from cairn.workspace import workspace
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -119,7 +120,7 @@ def queries() -> dict[str, Query]:
     """Name to query(spark, sf_dir)."""
     found: dict[str, Query] = {name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).query(text)) for name, (text, _) in SQL.items()}
     found |= {name: (lambda spark, sf_dir, text=text, n=n: engine(spark, sf_dir).query(text).withColumn("v", F.round("v", n))) for name, (text, n, _) in ROUNDED.items()}
-    return found | {
+    return found | table_queries.queries() | {
         "radius": radius,
         "knn": knn,
         "mbr_leaves": mbr_leaves,
@@ -136,7 +137,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
     found = {name: other or text for name, (text, other) in SQL.items()} | {name: other for name, (_, _, other) in ROUNDED.items()}
-    return found | {
+    return found | table_queries.oracle_sql() | {
         "radius": f"SELECT c_custkey FROM customer WHERE {_DIST} <= 300.0",
         "knn": f"SELECT c_custkey, {_DIST} AS dist FROM customer ORDER BY dist, c_custkey LIMIT 10",
         "mbr_leaves": f"SELECT CAST(sl AS INT) AS sl, CAST(tl AS INT) AS tl, min({_X}) AS min_x, min({_Y}) AS min_y, max({_X}) AS max_x, max({_Y}) AS max_y, count(*) AS n_entries FROM (SELECT *, ntile(4) OVER (PARTITION BY sl ORDER BY c_nationkey, c_custkey) AS tl FROM (SELECT *, ntile(4) OVER (ORDER BY c_acctbal, c_custkey) AS sl FROM customer) a) b GROUP BY sl, tl",

@@ -3,7 +3,8 @@
 By name, if the header has all columns of the table; else by position, where
 the header line is data like any other.  A malformed number is 0, an INT out of
 range or a number missing from a short line skips the line, and a missing text
-is empty.
+is empty.  Quoted fields may hold line breaks; only a file in which some line has
+an odd number of quotes is read as a whole, others are split between tasks.
 """
 
 from __future__ import annotations
@@ -54,18 +55,24 @@ def clean_names(header: list[str]) -> list[str]:
     return out
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """The first line's fields."""
-    first = spark.read.option("header", False).csv(path).head(1)
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field can go on in the next line: such a line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def header_of(spark: SparkSession, path: str, spans: bool = False) -> list[str]:
+    """The first record's fields."""
+    first = spark.read.options(header=False, escape='"', multiLine=spans).csv(path).head(1)
     if not first:
         raise EngineError("the file is empty")
     return [x or "" for x in first[0]]
 
 
-def raw_rows(spark: SparkSession, path: str, width: int, header: bool) -> DataFrame:
+def raw_rows(spark: SparkSession, path: str, width: int, header: bool, spans: bool = False) -> DataFrame:
     """All fields as text in c0, c1 ..., and the line itself where its number of fields differs."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(_BAD, T.StringType())])
-    return spark.read.schema(schema).options(header=header, enforceSchema=True, columnNameOfCorruptRecord=_BAD, mode="PERMISSIVE", nullValue=_NONE, escape='"', multiLine=False).csv(path)
+    return spark.read.schema(schema).options(header=header, enforceSchema=True, columnNameOfCorruptRecord=_BAD, mode="PERMISSIVE", nullValue=_NONE, escape='"', multiLine=spans).csv(path)
 
 
 def is_integer(c: Column) -> Column:
@@ -80,9 +87,10 @@ def is_decimal(c: Column) -> Column:
 
 def infer(spark: SparkSession, path: str, rows: int = SAMPLE_ROWS) -> dict:
     """Columns suggested from the first rows: {columns: [{name, type, original?, size?}], sampled}."""
-    header = header_of(spark, path)
+    spans = spans_lines(spark, path)
+    header = header_of(spark, path, spans)
     width = len(header)
-    sample = raw_rows(spark, path, width, True).limit(max(1, rows))
+    sample = raw_rows(spark, path, width, True, spans).limit(max(1, rows))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     checks = [F.count(F.lit(1)).alias("n")]
     for i in range(width):
@@ -106,13 +114,14 @@ def infer(spark: SparkSession, path: str, rows: int = SAMPLE_ROWS) -> dict:
 
 def load(spark: SparkSession, path: str, columns: list[dict], sizes: dict[str, int] | None = None) -> DataFrame:
     """The file's rows as a table of ``columns`` ({name, type}); text is cut to ``sizes`` characters where given."""
-    header = header_of(spark, path)
+    spans = spans_lines(spark, path)
+    header = header_of(spark, path, spans)
     names = clean_names(header)
     by_name = {c["name"] for c in columns} <= set(names)
     width = len(names) if by_name else max(len(names), len(columns))
     if not by_name:
         log.warning("%s: the header has not all columns; loading by position, header line included", path)
-    raw = raw_rows(spark, path, width, by_name)
+    raw = raw_rows(spark, path, width, by_name, spans)
     some = F.array_max(F.array(*[F.when(F.col(f"c{i}").isNotNull(), i).otherwise(-1) for i in range(width)]))
     short = F.col(_BAD).isNotNull() & F.col(f"c{width - 1}").isNull()
     rows = raw.withColumn("_last", F.when(short, some).otherwise(width))

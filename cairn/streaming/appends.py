@@ -1,4 +1,4 @@
-"""Streams into tables: every micro-batch is one append; a batch marked as written is not written again."""
+"""Streams into tables: every micro-batch is one append, which the catalog names together with the batch's number."""
 
 from __future__ import annotations
 
@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.engine import Engine
-from cairn.operators.relational import col
 
 
 def append_stream(engine: Engine, name: str, rows: DataFrame, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Append a stream's rows to a table; a batch that was written before a restart is not written again."""
-    table = engine.catalog.get(name)
-    fields = table.schema().fields
-    done = f"{engine.catalog.warehouse}/{name}/_batches"
+    """Append a stream's rows to a table, each batch exactly once.
+
+    Rows and number of a batch enter the catalog in one step: a batch that broke
+    off before that leaves a folder nobody reads, and one that comes again after
+    it is passed over.  The checkpoint folder names the stream.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        mark = engine.catalog._path(f"{done}/{number}")
-        if engine.catalog._fs.exists(mark) or batch.isEmpty():
-            return
-        with engine.locks.hold({name: "X"}):
-            engine.append(name, batch.select(*[col(f.name).cast(f.dataType) for f in fields]))
-            engine.catalog._fs.create(mark).close()
+        if not batch.isEmpty():
+            with engine.locks.hold({name: "X"}):
+                engine.append(name, batch, (checkpoint, number))
 
+    engine.catalog.get(name)
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -12,8 +12,9 @@ from cairn.errors import EngineError, NotFound
 from cairn.functions import spatial as G
 from cairn.operators import conflicts as C
 from cairn.operators import spatial as X
-from cairn.sources import csvio
+from cairn.sources import csvio, sortedfile
 from cairn.txn import LockManager, Simulator, Transaction
+from cairn.workspace import workspace
 
 
 def test_names_and_inference(spark, tmp_path):
@@ -41,6 +42,53 @@ def test_coercion(spark, tmp_path):
     assert got == [(0, "ab"), (0, "b"), (1, "2."), (5, "1"), (6, ""), (7, "1e")]
 
 
+def test_line_breaks(spark, tmp_path):
+    """Quoted fields hold line breaks, commas and quotes; lone quotes within a field stay what they are."""
+    path = tmp_path / "x.csv"
+    path.write_text('id,note\n1,"a\nb"\n2,"x, ""y"""\n3,5" pipe\n')
+    assert csvio.spans_lines(spark, str(path))
+    assert [c["type"] for c in csvio.infer(spark, str(path))["columns"]] == ["INT", "TEXT"]
+    columns = [{"name": "id", "type": "INT"}, {"name": "note", "type": "TEXT"}]
+    assert sorted(map(tuple, csvio.load(spark, str(path), columns).collect())) == [(1, "a\nb"), (2, 'x, "y"'), (3, '5" pipe')]
+    path.write_text('id,note\n1,"a, b"\n')
+    assert not csvio.spans_lines(spark, str(path))
+    assert csvio.load(spark, str(path), columns).first().note == "a, b"
+
+
+def test_sorted_file(spark, tmp_path):
+    """Written in order, in several files, and read back with places; an empty table too."""
+    rows = [(i * 7919 % 101, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, i int")
+    told = sortedfile.write(df, f"{tmp_path}/s", "k")
+    assert told["records_written"] == 300 and told["runs_generated"] >= 1 and told["total_sec"] > 0
+    got = sortedfile.read(spark, f"{tmp_path}/s").orderBy("place").collect()
+    assert [(r.k, r.i) for r in got] == sorted(rows) and [r.place for r in got] == list(range(300))
+    df.repartitionByRange(4, "k").sortWithinPartitions("k", "i").write.parquet(f"{tmp_path}/four")
+    assert [(r.k, r.i) for r in sortedfile.read(spark, f"{tmp_path}/four").orderBy("place").collect()] == sorted(rows)
+    assert sortedfile.write(df.limit(0), f"{tmp_path}/none", "k", descending=True)["records_written"] == 0
+    assert sortedfile.read(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_workspace_needs_a_shared_folder(spark):
+    """On a cluster without a shared folder there is no workspace."""
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    Session.conf = type("Conf", (), {"get": lambda self, name, other: other})()
+    with pytest.raises(ValueError, match="checkpoint"):
+        workspace(Session())
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-3, 3)), min_size=1, max_size=20), st.integers(-3, 3), st.integers(-3, 3), st.integers(0, 4), st.integers(-1, 25))
 def test_spatial(spark, points, cx, cy, r, k):
@@ -97,10 +145,15 @@ def test_box_algebra(spark):
 def test_tiles_match_ntile(spark):
     """Distributed tiles equal ntile over all rows."""
     df = spark.createDataFrame([(i, float(i * 7 % 23)) for i in range(101)], "id int, x double")
-    got = X.tiles(df, "x", "id", 7, "t").select("id", "t").collect()
     df.createOrReplaceTempView("tiles_in")
-    want = spark.sql("SELECT id, ntile(7) OVER (ORDER BY x, id) AS t FROM tiles_in").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    for n in (7, 200):
+        want = spark.sql(f"SELECT id, ntile({n}) OVER (ORDER BY x, id) AS t FROM tiles_in").collect()
+        for rows in (1_000_000, 10):
+            got = X.tiles(df, "x", "id", n, "t", range_rows=rows).select("id", "t").collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    same = spark.createDataFrame([(i, 1.0) for i in range(60)], "id int, x double")
+    got = X.tiles(same, "x", "id", 6, "t", range_rows=10)
+    assert [r.t for r in got.orderBy("id").collect()] == [i // 10 + 1 for i in range(60)]
 
 
 def test_locks():
@@ -135,6 +188,18 @@ def test_conflicts(spark, held, asked, want):
     assert C.conflicts(log, ended).count() == 0
 
 
+def test_conflict_counts(spark, monkeypatch):
+    """Counts equal the listed pairs, whatever the buckets; one's own requests and equal numbers don't conflict."""
+    rng = random.Random(9)
+    log = [(rng.randrange(5), rng.randrange(40), rng.choice("XS"), rng.choice("AB")) for _ in range(60)]
+    df = spark.createDataFrame(log, "tx int, seq int, op string, resource string")
+    want = sorted(map(tuple, C.conflicts(df).groupBy("resource", "conflict").count().collect()))
+    for bucket in (1 << 16, 8):
+        monkeypatch.setattr(C, "BUCKET", bucket)
+        assert sorted(map(tuple, C.conflict_counts(df).collect())) == want
+    assert C.conflict_counts(df.limit(0)).count() == 0
+
+
 def test_deadlocked(spark):
     """Only transactions on cycles stay."""
     log = [("T1", 1, "X", "A"), ("T2", 2, "X", "B"), ("T1", 3, "X", "B"), ("T2", 4, "X", "A"), ("T3", 5, "S", "A")]
