@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cairn-")
         atexit.register(shutil.rmtree, folder[len("file://") :], True)
@@ -65,8 +66,9 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
+def forget(df: DataFrame) -> None:
     """Delete the files of a stored table that no later plan reads."""
+    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -77,6 +79,52 @@ def sized_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
+def addressed(df: DataFrame) -> DataFrame:
+    """``df`` with each row's address, ``_file`` (a hash of the path) and ``_row`` in it; what is not read from files is stored first."""
+    try:
+        return df.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return addressed(store(df, "addressed"))
+
+
+def attached(texts: DataFrame, some: DataFrame, on: list[str], how: str = "inner", weight: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``texts`` joined with ``some`` without shuffling a text, however many rows ``some`` has.
+
+    ``texts`` is read from files, and ``some`` names by ``_file`` (see
+    ``addressed``) the file that each of its rows belongs to.  Files are taken in
+    groups whose part of ``some`` weighs ``most`` at most (a row weighs one, or
+    what the column ``weight`` says), and each part is broadcast to the scan of
+    its files, so every file is scanned once and every broadcast is bounded.  A
+    file with more rows than that is scanned once for each ``most`` of them, dealt
+    by the keys.  ``how`` is inner, left, left_semi or left_anti; ``_file`` comes with
+    the result only as a key.
+    """
+    narrow = some if "_file" in on else some.drop("_file")
+    heavy = F.col(weight) if weight else F.lit(1)
+    total = some.agg(F.coalesce(F.sum(heavy), F.lit(0))).first()[0]
+    if total <= most:
+        return texts.join(F.broadcast(narrow), on, how)
+    # A row per file.
+    weights = {r["_file"]: r.n for r in some.groupBy("_file").agg(F.sum(heavy).alias("n")).collect()}
+    paths = [(r.path, weights.get(r["_file"], 0), r["_file"]) for r in texts.select(F.col("_metadata.file_path").alias("path")).distinct().withColumn("_file", F.xxhash64("path")).orderBy("path").collect()]
+    groups: list[list[tuple[str, int, int]]] = [[]]
+    for entry in paths:
+        if groups[-1] and sum(x[1] for x in groups[-1]) + entry[1] > most:
+            groups.append([])
+        groups[-1].append(entry)
+    path, schema = scratch_path(texts.sparkSession, "attached"), None
+    for group in groups:
+        parts = max(1, -(-sum(x[1] for x in group) // most))
+        of = texts.where(F.col("_metadata.file_path").isin([x[0] for x in group]))
+        own = some.where(F.col("_file").isin([x[2] for x in group])).select(narrow.columns)
+        for part in range(parts):
+            mine = lambda df: df.where(F.pmod(F.hash(*on), F.lit(parts)) == part) if parts > 1 else df  # noqa: B023, E731
+            out = mine(of).join(F.broadcast(mine(own)), on, how)
+            out.write.mode("append").parquet(path)
+            schema = out.schema
+    return texts.sparkSession.read.schema(schema).parquet(path)
+
+
 def hex_long(text: Column, digits: int = 13) -> Column:
     """The first hex digits of md5(text) as a long; SQL engines agree on it."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")

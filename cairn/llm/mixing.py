@@ -33,8 +33,8 @@ SEED = "mix-1"
 STRIDE = 2147483629
 
 
-def measured(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """doc_id, source, size, shard and seeded order of every row; the only pass over the texts."""
+def measured(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, shard, seeded order and the columns ``carry`` of every row; the only pass over the texts."""
     rank = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
     return df.select(
         F.col(key).alias("doc_id"),
@@ -42,6 +42,7 @@ def measured(df: DataFrame, text: str = "text", source: str = "source", key: str
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1)).alias("crc"),
         rank.alias("rank"),
+        *carry,
     ).withColumn("shard", F.pmod(F.conv(F.substring("rank", 1, 4), 16, 10).cast("long"), F.lit(SHARDS)).cast("int"))
 
 
@@ -89,8 +90,8 @@ def seats(parts: DataFrame) -> DataFrame:
     return parts.join(moved, ["place", "shard"], "left").withColumn("q", F.col("near") + F.coalesce("moved", F.lit(0))).drop("near", "gap", "moved")
 
 
-def mix(sizes: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row of ``measured``'s table."""
+def mix(sizes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns ``carry`` for every row of ``measured``'s table."""
     # Both small tables are used more than once, so each is computed by itself and stored.
     goal = store(targets(sizes), "targets")
     rows = sizes.join(F.broadcast(goal), sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"])
@@ -114,7 +115,7 @@ def mix(sizes: DataFrame) -> DataFrame:
     extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), share)
     whole = F.col("size") * F.floor(F.col("q") / F.col("n"))
     taken = F.when(F.col("size") > 0, whole + extra).otherwise(F.lit(0)).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
 
 
 def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

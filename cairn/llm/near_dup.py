@@ -10,12 +10,18 @@ a size between take part in both ways, so that any two sets of similarity 0.8
 meet in one of them.
 
 Bands of compressed registers are the keys of a search for candidates.  Every
-row of a band's bucket points to the least row in it, and the connected rows are
-a family: rows of different families share no band.  Families are compared in
-blocks of bounded size.  A block's pairs are first judged by the estimate from
-registers, corrected for chance collisions; those near the limit or above are
-confirmed on the full sets, and a spanning forest of the links leaves the task.
-Connected components of these links give the result.
+row of a band's bucket is first compared with the least row in it, its hub: by
+the estimate from registers, corrected for chance collisions, and where that is
+near the limit or above, on the full sets.  Rows that are linked with a common
+row need no comparison with each other, which settles groups of copies of any
+size in as many comparisons as they have rows.  What is left are buckets whose
+other rows are not all known to be connected; their rows are compared in blocks,
+again by registers first, and only rows of pairs that pass have their sets
+compared.  Connected components of all links give the result.
+
+Registers and ids travel, not texts: a text is read where it lies and moves only
+if a pair of it passes the estimate.  A hub's pairs are dealt out in lots, so one
+hub is no single task's.
 
 A pair at the limit misses all ``BANDS`` bands with probability 3e-6, and fails
 the estimate, five deviations below the limit, with 3e-7.
@@ -34,18 +40,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded_batches, documents, store
+from cairn.llm.common import addressed, attached, bounded_batches, documents, forget, store
 from cairn.llm.shingles import mix, pieces, shingle_sets
 
 BUCKETS, MANTISSA = 256, 10
 BAND_ROWS, BANDS = 6, 42
 #: Sets below SMALL hash every shingle for every bucket; sets from LARGE on deal them out.  LARGE <= 0.8 * SMALL.
 LARGE, SMALL = 512, 640
-#: Rows and shingles of a family that are compared with as many others at once.
+#: Rows and shingles of a bucket that are compared with as many others at once.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 600_000
+#: Pairs of a hub that one task confirms.
+LOT = 512
 EMPTY = np.uint16(0xFFFF)
-#: Ids that are broadcast at most.
-ID_ROWS = 300_000
 
 _U = np.uint64
 _DRAWS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, BUCKETS), dtype=np.uint64) * _U(2) + _U(1)
@@ -86,6 +92,16 @@ def sketch_large(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def near(percent: int) -> float:
+    """The least estimate of a pair that is confirmed: five deviations below the limit."""
+    return percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
+
+
+def chance(ratio: np.ndarray) -> np.ndarray:
+    """The probability that registers of unlike sets agree; ``ratio`` is that of their sizes."""
+    return 0.169919487159739093975315012348 * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Similarity of each register row of a with each of b, less what chance collisions add."""
     used_a, used_b = a != EMPTY, b != EMPTY
@@ -96,9 +112,15 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
         same += a[:, j, None] == b[None, :, j]
     for j in hollow:
         neither += ~used_a[:, j, None] & ~used_b[None, :, j]
-    ratio = size_a[:, None] / size_b[None, :]
-    chance = 0.169919487159739093975315012348 * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA)
-    return ((same - neither) / np.maximum(BUCKETS - neither, 1) - chance) / (1 - chance)
+    more = chance(size_a[:, None] / size_b[None, :])
+    return ((same - neither) / np.maximum(BUCKETS - neither, 1) - more) / (1 - more)
+
+
+def estimate_pairs(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """estimate() of each register row of a with the same row of b."""
+    neither = ((a == EMPTY) & (b == EMPTY)).sum(1)
+    more = chance(size_a / size_b)
+    return (((a == b).sum(1) - neither) / np.maximum(BUCKETS - neither, 1) - more) / (1 - more)
 
 
 def _binary(rows: np.ndarray, keep: np.ndarray) -> list[bytes | None]:
@@ -106,8 +128,8 @@ def _binary(rows: np.ndarray, keep: np.ndarray) -> list[bytes | None]:
     return [next(it).tobytes() if k else None for k in keep.tolist()]
 
 
-def signed(texts: DataFrame, k: int, fold: bool) -> DataFrame:
-    """doc_id, n, two sums that identify the set, and registers; ``texts`` has doc_id and text."""
+def signed(texts: DataFrame, k: int, fold: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, two sums that identify the set, registers and the columns ``carry``; ``texts`` has doc_id, text and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,12 +140,13 @@ def signed(texts: DataFrame, k: int, fold: bool) -> DataFrame:
                 small, large = (n > 0) & (n < SMALL), n >= LARGE
                 regs = [f([s for s, x in zip(sets, own.tolist(), strict=True) if x]) if own.any() else [] for f, own in ((sketch_small, small), (sketch_large, large))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(piece.low, piece.high - piece.low), pa.array(n), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(_binary(regs[0], small), pa.binary()), pa.array(_binary(regs[1], large), pa.binary())],
-                    names=["doc_id", "n", "s1", "s2", "small", "large"],
+                    [batch.column("doc_id").slice(piece.low, piece.high - piece.low), pa.array(n), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(_binary(regs[0], small), pa.binary()), pa.array(_binary(regs[1], large), pa.binary())]
+                    + [batch.column(c).slice(piece.low, piece.high - piece.low) for c in carry],
+                    names=["doc_id", "n", "s1", "s2", "small", "large", *carry],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, small binary, large binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, small binary, large binary" + "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +180,130 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = store(small, label)
+        last, edges = edges, store(small, label)
+        forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = now
 
 
+def _registers(column: pa.Array) -> np.ndarray:
+    """Register rows of a binary column without nulls."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
+def _close(percent: int):
+    """Keeps the pairs whose registers and sizes allow a link; rows are a, b and the registers and size of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = {x: batch.column(f"n_{x}").to_numpy(zero_copy_only=False).astype(np.float64) for x in "ab"}
+            kept = np.zeros(batch.num_rows, bool)
+            for kind in ("small", "large"):
+                both = np.flatnonzero(np.asarray(batch.column(f"{kind}_a").is_valid()) & np.asarray(batch.column(f"{kind}_b").is_valid()))
+                for low in range(0, len(both), 4096):
+                    own = both[low : low + 4096]
+                    regs = [_registers(batch.column(f"{kind}_{x}").take(pa.array(own))) for x in "ab"]
+                    kept[own] |= estimate_pairs(*regs, size["a"][own], size["b"][own]) >= near(percent)
+            kept &= 100 * np.minimum(size["a"], size["b"]) >= percent * np.maximum(size["a"], size["b"])
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    return run
+
+
+def _confirmed(k: int, fold: bool, percent: int):
+    """Links of hubs' lots: rows are b, lot, tag, id, text; a lot's hub texts (tag 0) come before the others (tag 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hubs = None, []
+        for batch in batches:
+            keys = list(zip(batch.column("b").to_pylist(), batch.column("lot").to_pylist(), strict=True))
+            tags, ids, found = batch.column("tag").to_pylist(), batch.column("id").to_pylist(), []
+            for piece in pieces(batch.column("text"), fold):
+                for row, own in zip(range(piece.low, piece.high), shingle_sets(piece, k), strict=True):
+                    if keys[row] != group:
+                        group, hubs = keys[row], []
+                    if not tags[row]:
+                        hubs.append(own)
+                        continue
+                    for hub in hubs:
+                        if 100 * min(len(own), len(hub)) >= percent * max(len(own), len(hub)):
+                            both = len(np.intersect1d(own, hub, assume_unique=True))
+                            if 100 * both >= percent * (len(own) + len(hub) - both) and both:
+                                found.append(row)
+                                break
+            take = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("b").take(take)], names=["a", "b"])
+
+    return run
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, where: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on their full sets; ``where`` has the file of each id's texts."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    lots = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / LOT).alias("lots"))
+    dealt = store(pairs.join(lots, "b").withColumn("lot", F.pmod(F.xxhash64("a"), F.col("lots"))).select("a", "b", "lot"), "pairs")
+    ids = dealt.select(F.col("a").alias("doc_id")).unionByName(dealt.select(F.col("b").alias("doc_id"))).distinct()
+    own = attached(texts, store(where.join(ids, "doc_id", "left_semi").distinct(), "needed"), ["doc_id"], "left_semi")
+    left = dealt.join(own.withColumnRenamed("doc_id", "a"), "a").select("b", "lot", F.lit(1).alias("tag"), F.col("a").alias("id"), "text")
+    right = dealt.select("b", "lot").distinct().join(own.withColumnRenamed("doc_id", "b"), "b").select("b", "lot", F.lit(0).alias("tag"), F.col("b").alias("id"), "text")
+    rows = left.unionByName(right).repartition("b", "lot").sortWithinPartitions("b", "lot", "tag")
+    return rows.mapInArrow(_confirmed(k, fold, percent), f"a {kind}, b {kind}").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys (long columns) as tables."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], axis=1)
+        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            if held and tuple(values[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(values[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _passing(percent: int):
+    """The rows of two blocks of a bucket that have a partner which passes the estimate and isn't known to be connected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("key", "i", "j")):
+            block, size = rows["block"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
+            label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+            hit = np.zeros(rows.num_rows, bool)
+            for kind in ("small", "large"):
+                own = np.flatnonzero(np.asarray(rows[kind].is_valid()))
+                left, right = own[block[own] == rows["i"][0].as_py()], own[block[own] == rows["j"][0].as_py()]
+                if not len(left) or not len(right):
+                    continue
+                regs = _registers(rows[kind].take(pa.array(right)))
+                for low in range(0, len(left), 256):
+                    some = left[low : low + 256]
+                    like = estimate(_registers(rows[kind].take(pa.array(some))), regs, size[some], size[right]) >= near(percent)
+                    like &= label[some][:, None] != label[right][None, :]
+                    hit[some] |= like.any(1)
+                    hit[right] |= like.any(0)
+            if hit.any():
+                yield from rows.filter(pa.array(hit)).to_batches()
+
+    return run
+
+
 def _links(k: int, fold: bool, percent: int):
-    """Per (family, block i, block j): the links between blocks i and j, as a forest."""
+    """Links between the rows of two blocks of a bucket, as a forest over their labels; rows have key, i, j, block, rep, label, registers and text."""
 
-    def forest(ids: list, sets: list[np.ndarray], block: np.ndarray, regs: list[list[bytes | None]], across: bool) -> Iterator[tuple]:
+    def forest(ids: list, labels: list, sets: list[np.ndarray], block: np.ndarray, regs: list[list[bytes | None]], across: bool) -> Iterator[tuple]:
         size = np.array([len(s) for s in sets], np.float64)
-        up = list(range(len(ids)))
+        first = {}
+        up = [first.setdefault(x, i) for i, x in enumerate(labels)]
 
         def root(x: int) -> int:
             while up[x] != x:
@@ -177,7 +311,6 @@ def _links(k: int, fold: bool, percent: int):
                 x = up[x]
             return x
 
-        close = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
         for column in regs:
             own = np.array([i for i, r in enumerate(column) if r is not None], np.int64)
             left, right = (own[block[own] == 0], own[block[own] == 1]) if across else (own, own)
@@ -186,12 +319,12 @@ def _links(k: int, fold: bool, percent: int):
             table = {int(i): np.frombuffer(column[i], np.uint16) for i in own}
             for at in range(0, len(left), 256):
                 rows = left[at : at + 256]
-                like = estimate(np.stack([table[int(i)] for i in rows]), np.stack([table[int(i)] for i in right]), size[rows], size[right]) >= close
+                like = estimate(np.stack([table[int(i)] for i in rows]), np.stack([table[int(i)] for i in right]), size[rows], size[right]) >= near(percent)
                 if not across:
                     like &= right[None, :] > rows[:, None]
                 for i, j in zip(*np.nonzero(like), strict=True):
                     a, b = int(rows[i]), int(right[j])
-                    if ids[a] == ids[b] or root(a) == root(b) or 100 * min(size[a], size[b]) < percent * max(size[a], size[b]):
+                    if root(a) == root(b) or 100 * min(size[a], size[b]) < percent * max(size[a], size[b]):
                         continue
                     both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     if 100 * both >= percent * (size[a] + size[b] - both):
@@ -199,63 +332,63 @@ def _links(k: int, fold: bool, percent: int):
                         yield ids[a], ids[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sets, block, regs = None, [], [], [], ([], [])
+        for rows in _runs(batches, ("key", "i", "j")):
+            i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+            sets = [own for piece in pieces(rows["text"], fold) for own in shingle_sets(piece, k)]
+            found = list(forest(rows["rep"].to_pylist(), rows["label"].to_pylist(), sets, (rows["block"].to_numpy() == j).astype(np.int64), [rows[c].to_pylist() for c in ("small", "large")], i != j))
+            if found:
+                kind = rows["rep"].type
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], names=["a", "b"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                found = list(forest(ids, sets, np.array(block), list(regs), group[1] != group[2]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], names=["a", "b"])
+    return run
 
-        kind = None
-        for batch in batches:
-            kind = batch.column("rep").type
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
-            reps, blocks = batch.column("rep").to_pylist(), batch.column("block").to_pylist()
-            small, large = batch.column("small").to_pylist(), batch.column("large").to_pylist()
-            for piece in pieces(batch.column("text"), fold):
-                for row, own in zip(range(piece.low, piece.high), shingle_sets(piece, k), strict=True):
-                    if keys[row] != group:
-                        yield from done()
-                        group, ids, sets, block, regs = keys[row], [], [], [], ([], [])
-                    ids.append(reps[row])
-                    sets.append(own)
-                    block.append(int(blocks[row] == group[2]))
-                    regs[0].append(small[row])
-                    regs[1].append(large[row])
-        yield from done()
 
-    return run
+def _rest(members: DataFrame, links: DataFrame, regs: DataFrame) -> DataFrame:
+    """Rows of buckets whose rows, but the hub, are not all known to be connected, each with its label; two rows with one label are connected."""
+    up = links.groupBy("a").agg(F.min("b").alias("hub"))
+    higher = up.select(F.col("a").alias("hub"), F.col("hub").alias("top"))
+    labels = store(up.join(higher, "hub", "left").select(F.col("a").alias("rep"), F.coalesce("top", "hub").alias("label")), "labels")
+    others = store(members.where("rep <> hub").select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "others")
+    mixed = store(others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
+    return store(others.join(mixed, "key").join(regs, "rep"), "rest")
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``df``."""
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and the columns ``carry`` for every row of ``df``."""
     bounded_batches(df.sparkSession)
-    texts = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = store(signed(texts, k, fold), "sketch")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = store(rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2", "n"], "left_semi").withColumnRenamed("doc_id", "rep"), "class").dropDuplicates(["rep", "s1", "s2", "n"])
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    keys = reps.select("rep", "small", "large").mapInArrow(_bands, f"key long, rep {kind}")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub <> far").select("key", "hub")
-    stars = keys.join(shared, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    family = components(stars, "family").withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
-    member = store(reps.join(family, "rep").select("rep", "family", "n", "s1", "s2", "small", "large"), "member")
-    blocks = member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # Only ids are broadcast; the registers go with the shuffle.
-    ids = member.select(F.col("rep").alias("doc_id")).distinct()
-    own = texts.join(F.broadcast(ids), "doc_id", "left_semi") if member.count() <= ID_ROWS else texts
-    carried = own.join(dealt.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
-    groups = carried.withColumn("pair", pair).select("family", "pair.i", "pair.j", "rep", "block", "small", "large", "text")
-    groups = groups.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
-    links = groups.mapInArrow(_links(k, fold, percent), f"a {kind}, b {kind}")
+    full = addressed(df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *carry))
+    texts = full.select("doc_id", "text")
+    kind = full.schema["doc_id"].dataType.simpleString()
+    rows = store(signed(full, k, fold, tuple(dict.fromkeys(("_file", *carry)))), "sketch")
+    filled = rows.where("n > 0 AND doc_id IS NOT NULL")
+    classes = store(filled.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    regs = filled.select("s1", "s2", "n", F.col("doc_id").alias("rep"), "small", "large").join(classes, ["s1", "s2", "n", "rep"], "left_semi")
+    regs = store(regs.dropDuplicates(["rep", "s1", "s2", "n"]).select("rep", "n", "small", "large"), "registers")
+    where = filled.select("doc_id", "_file")
+
+    keys = regs.select("rep", "small", "large").mapInArrow(_bands, f"key long, rep {kind}")
+    shared = store(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub <> far").select("key", "hub"), "shared")
+    members = store(keys.join(shared, "key").select("key", "rep", "hub"), "members")
+    stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    sided = lambda x: regs.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "small", "large")])
+    close = stars.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(_close(percent), f"a {kind}, b {kind}").distinct()
+    links = store(confirmed(store(close, "close"), texts, where, k, fold, percent), "links")
+
+    rest = _rest(members, links, regs)
+    if not rest.isEmpty():
+        blocks = rest.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        dealt = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
+        together = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+        dealt = dealt.withColumn("pair", pair).select("key", "pair.i", "pair.j", "block", "rep", "label", "n", "small", "large")
+        passing = store(together(dealt).mapInArrow(_passing(percent), dealt.schema), "passing")
+        own = attached(texts, store(where.join(passing.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "needed"), ["doc_id"], "left_semi")
+        carried = together(passing.join(own.withColumnRenamed("doc_id", "rep"), "rep"))
+        links = links.unionByName(carried.mapInArrow(_links(k, fold, percent), f"a {kind}, b {kind}"))
     found = components(links, "component").withColumnRenamed("node", "rep")
-    classed = rows.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
-    own = F.coalesce("component", "rep", "doc_id")
-    joined = classed.join(found, "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    classed = rows.select("doc_id", "n", "s1", "s2", *carry).join(classes, ["s1", "s2", "n"], "left")
+    joined = classed.join(found, "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *carry)
 
 
 def op9_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import archives, decontaminate, language, near_dup, phrases, quality, secrets
+from cairn.llm import archives, common, decontaminate, language, near_dup, phrases, quality, secrets
 from cairn.llm.shingles import pieces, shingle_sets
 from tests.llm.conftest import prose
 
@@ -90,8 +90,10 @@ def test_near_duplicates(spark, corpus, awkward, empty, monkeypatch):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     want = brute_components(corpus, 4, 80)
     assert len({c for _, c in want.values()}) < len(want) - 50
-    for rows in (1024, 16):
+    for rows, most in ((1024, 500_000), (4, 20)):
         monkeypatch.setattr(near_dup, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(near_dup, "LOT", rows)
+        monkeypatch.setattr(common.attached, "__defaults__", ("inner", None, most))
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 4, 80).collect()}
         assert got == want
     odd = near_dup.near_duplicates(awkward).collect()
@@ -100,6 +102,35 @@ def test_near_duplicates(spark, corpus, awkward, empty, monkeypatch):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_rows_away_from_hubs(spark):
+    """Links between rows of a bucket that its hub has no link with are found, whatever the hub."""
+    rng = random.Random(12)
+    shared = prose(rng, 300).split()
+    texts = []
+    for _ in range(12):  # each far from the others (similarity about 0.6 by the shared words), with two near copies
+        own = [f"own{rng.random()}" for _ in range(90)]
+        words = shared + own
+        texts += [" ".join(words), " ".join(edited(rng, words, 3)), " ".join([*words, "end"])]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == brute_components(rows, 4, 80) and len({c for _, c in got.values()}) == 12
+
+
+def test_attached(spark, tmp_path):
+    """Joins in many bounded parts equal a plain join, also where one file has more rows than a part."""
+    docs = spark.createDataFrame([(i if i % 11 else None, f"t{i}") for i in range(200)], "doc_id long, text string").repartition(5)
+    docs.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    some = common.addressed(docs).where("doc_id % 3 = 0").select("doc_id", "_file", F.lit(7).alias("w"), F.col("doc_id").alias("more"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(tuple, docs.join(some.drop("_file"), "doc_id", how).collect()), key=repr)
+        for most, weight in ((10**6, None), (25, None), (5, None), (30, "w")):
+            got = common.attached(docs, some, ["doc_id"], how, weight, most)
+            assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert common.attached(docs, some.limit(0), ["doc_id"], "left_anti").count() == 200
+
+
 def test_estimate():
     """Register estimates come near the true similarity in both sketches."""
     rng = np.random.default_rng(3)
