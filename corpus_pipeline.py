@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, language, mixing, near_dup, sharding
-from cairn.llm.common import documents, hex_long, sized_broadcast, store
+from cairn.llm.common import addressed, attached, documents, hex_long, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Where a row is read from; verdicts go back to texts by it, so that no text is shuffled for them.
+ADDRESS = ("_file", "_row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, at five words and 0.8."""
-    judged = store(near_dup.near_duplicates(docs).where("doc_id IS NOT NULL"), "judged")
-    dropped = judged.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(sized_broadcast(dropped, dropped.count()), "doc_id", "left_anti")
-    if judged.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return kept.select(*COLUMNS)
+    """Keep one document of each group of near-duplicates, at five words and 0.8, and one row of each id."""
+    rows = addressed(docs)
+    judged = store(near_dup.near_duplicates(rows, carry=ADDRESS).where("doc_id IS NOT NULL"), "judged")
+    first = judged.groupBy("doc_id").agg(F.min(F.xxhash64("_file", "_row")).alias("first"))
+    dropped = judged.join(first, "doc_id").where(~F.col("kept") | (F.xxhash64("_file", "_row") != F.col("first")))
+    return attached(rows, store(dropped.select(*ADDRESS), "dropped"), list(ADDRESS), "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +46,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole copies, the rest of a copy by a seeded draw."""
-    taken = mixing.mix(store(mixing.measured(docs), "mix"))
+    rows = addressed(docs)
+    taken = mixing.mix(store(mixing.measured(rows, carry=ADDRESS), "mix"), ADDRESS)
     draw = hex_long(F.concat(F.lit("copy:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 8) / F.lit(float(1 << 32))
-    copies = taken.where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("copies")).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = store(copies, "copies").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(sized_broadcast(copies, copies.count()), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    copies = taken.where("size > 0").select(*ADDRESS, F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("copies")).where("copies > 0")
+    found = attached(rows, store(copies, "copies"), list(ADDRESS))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
