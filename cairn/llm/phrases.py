@@ -5,16 +5,24 @@ A window of ``WINDOW`` words is judged by its content: the least hash among its
 equal windows have equal anchors.  Neighbouring windows of a document with one
 anchor make a segment.
 
-1. Every document gives its anchors; phrases that are anchors in two documents
-   recur, and only their documents go on.
-2. The documents stream through automata: each piece of documents compiles its
-   recurring phrases with pyahocorasick and locates every occurrence.  A window
-   can only recur if one of these phrases is its anchor.
-3. Located segments with equal words are one group; all but its first document
+1. Every document is read and gives its anchors; phrases that are anchors in two
+   documents recur.  They are the confirmed passages, and their words are taken
+   from the first document that has them.
+2. Confirmed phrases are dealt to shards by that first document, so that one
+   passage's phrases meet in one shard, of ``SHARD_PHRASES`` on average.  Every
+   shard is compiled with pyahocorasick.  A word is a letter (six bits of its
+   hash), a phrase a key of ``PHRASE`` letters; phrases that differ in a word may
+   have the same letters, which the hashes of step 4 tell apart.
+3. Documents stream through the automata of the shards that have a phrase of
+   theirs; a document without a recurring anchor is in no shard's reach, since a
+   window can only recur if its anchor does.  Documents of a much used shard are
+   dealt out in lots, each with its own copy of the automaton.  What the automata
+   find, and nothing else, says where recurring phrases stand.
+4. Located segments with equal words are one group; all but its first document
    lose the segment's windows.  Where an anchor has several different segments,
    the first document of each compares its windows one by one, by 128-bit hash.
-4. Words covered by lost windows go.  A document is rewritten by its row, so
-   texts are never grouped.
+5. Words covered by lost windows go.  Verdicts go back to the texts by their
+   files, so only texts that stream through automata are ever shuffled.
 
 Nulls: a null text has no words; a row without an id neither loses nor removes
 words.  Rows that share an id are one document, so they remove nothing from one
@@ -32,12 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import documents, sized_broadcast, store
+from cairn.llm.common import addressed, attached, bounded_batches, documents, store
 from cairn.llm.shingles import Piece, mix, pieces, powers, rolling
 
 WINDOW, PHRASE = 50, 20
-#: Ids that are broadcast at most.
-ID_ROWS = 300_000
+#: Phrases of an automaton, on average: 20 MB or so of nodes.
+SHARD_PHRASES = 1 << 14
+#: Documents that stream through one copy of an automaton, on average.
+LOT = 4096
+
+#: What a text is known by.
+ROW = ("doc_id", "_file", "text_hash")
 
 _U = np.uint64
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -89,54 +102,94 @@ def _anchors(window: int, phrase: int):
             for piece in pieces(batch.column("text")):
                 found = Segments(piece, window, phrase)
                 if len(found.row):
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(found.row + piece.low)), pa.array(found.anchor.view(np.int64))], names=["doc_id", "anchor"])
+                    row = pa.array(found.row + piece.low)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("_file").take(row), pa.array(found.anchor.view(np.int64))], names=["doc_id", "_file", "anchor"])
 
     return run
 
 
-def automaton(words: np.ndarray, places: np.ndarray, phrase: int) -> ahocorasick.Automaton:
-    """Compiles the phrases that start at ``places``; a word is 32 bits of its hash."""
-    found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for at in places.tolist():
-        found.add_word(tuple(words[at : at + phrase].tolist()), 1)
-    found.make_automaton()
-    return found
+def letters(words: np.ndarray) -> np.ndarray:
+    """Each word as one of 64 letters."""
+    return (words >> _U(58)).astype(np.uint8)
 
 
-def _located(window: int, phrase: int):
-    """The segments of recurring phrases; rows are doc_id, text_hash, text, anchors."""
+def _phrases(window: int, phrase: int):
+    """The letters of confirmed phrases; rows are doc_id, text, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = batch.column("anchors")
             for piece in pieces(batch.column("text")):
                 found = Segments(piece, window, phrase)
-                if not len(found.row):
-                    continue
-                recurring = np.unique(known.slice(piece.low, piece.high - piece.low).flatten().to_numpy(zero_copy_only=False))
-                places = found.place[np.isin(found.anchor.view(np.int64), recurring)]
-                if not len(places):
+                wanted = np.unique(known.slice(piece.low, piece.high - piece.low).flatten().to_numpy(zero_copy_only=False))
+                own = np.flatnonzero(np.isin(found.anchor.view(np.int64), wanted))
+                if not len(own):
                     continue
-                words = (piece.words >> _U(32)).astype(np.uint32)
-                search = automaton(words, places, phrase)
-                hit = np.zeros(len(words) + 1, bool)
-                for _, a, b in piece:
-                    for end, _ in search.iter(tuple(words[a:b].tolist())):
-                        hit[a + end - phrase + 1] = True
-                own = hit[found.place]
-                row = found.row[own] + piece.low
-                one, two = found.hashes()
-                low = found.low[own] - piece.first[found.row[own]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row)), batch.column("text_hash").take(pa.array(row)), pa.array(found.anchor.view(np.int64)[own]), pa.array(one[own]), pa.array(two[own]), pa.array(low.astype(np.int32)), pa.array(found.count[own].astype(np.int32))],
-                    names=["doc_id", "text_hash", "anchor", "one", "two", "low", "n"],
-                )
+                anchor, first = np.unique(found.anchor.view(np.int64)[own], return_index=True)
+                keys = np.lib.stride_tricks.sliding_window_view(letters(piece.words), phrase)[found.place[own[first]]]
+                row = pa.array(found.row[own[first]] + piece.low)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), pa.array(anchor), pa.array([k.tobytes() for k in keys], pa.binary())], names=["doc_id", "anchor", "phrase"])
+
+    return run
+
+
+def automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
+    """Compiles phrases given by their letters."""
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for x in phrases:
+        found.add_word(x.decode("latin1"), 1)
+    found.make_automaton()
+    return found
+
+
+def _located(window: int, phrase: int):
+    """The segments of recurring phrases; a lot's phrases (tag 0) come before its documents (tag 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, search = None, [], None
+        for batch in batches:
+            shard, lot, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "lot", "tag"))
+            ends = [*(np.flatnonzero((np.diff(shard) != 0) | (np.diff(lot) != 0) | (np.diff(tag) != 0)) + 1).tolist(), batch.num_rows]
+            low = 0
+            for high in ends:
+                part = batch.slice(low, high - low)
+                if low < high and (shard[low], lot[low]) != group:
+                    group, held, search = (shard[low], lot[low]), [], None
+                if low < high and not tag[low]:
+                    held += part.column("phrase").to_pylist()
+                elif low < high and held:
+                    if search is None:
+                        search = automaton(held)
+                    yield from occurrences(part, search, window, phrase)
+                low = high
 
     return run
 
 
+def occurrences(batch: pa.RecordBatch, search: ahocorasick.Automaton, window: int, phrase: int) -> Iterator[pa.RecordBatch]:
+    """The segments of documents whose anchor an automaton finds there."""
+    for piece in pieces(batch.column("text")):
+        text = letters(piece.words).tobytes().decode("latin1")
+        hit = np.zeros(len(text) + 1, bool)
+        for _, a, b in piece:
+            at = [end for end, _ in search.iter(text[a:b])]
+            hit[np.array(at, np.int64) + (a - phrase + 1)] = True
+        if not hit.any():
+            continue
+        found = Segments(piece, window, phrase)
+        own = hit[found.place]
+        row = pa.array(found.row[own] + piece.low)
+        one, two = found.hashes()
+        begin = found.low[own] - piece.first[found.row[own]]
+        columns = [batch.column(c).take(row) for c in ("doc_id", "_file", "text_hash")]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(found.anchor.view(np.int64)[own]), pa.array(one[own]), pa.array(two[own]), pa.array(begin.astype(np.int32)), pa.array(found.count[own].astype(np.int32))],
+            names=["doc_id", "_file", "text_hash", "anchor", "one", "two", "low", "n"],
+        )
+
+
 def _windows(window: int):
-    """Single windows with their hashes; rows are doc_id, text_hash, text, spans."""
+    """Single windows with their hashes; rows are doc_id, _file, text_hash, text, spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,13 +203,13 @@ def _windows(window: int):
                     at.append(own + a)
                     low.append(own)
                 rows, at, low = pa.array(np.concatenate(rows)), np.concatenate(at), np.concatenate(low)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(hashes[0][at]), pa.array(hashes[1][at]), pa.array(low.astype(np.int32))], names=["doc_id", "text_hash", "one", "two", "low"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in ("doc_id", "_file", "text_hash")], pa.array(hashes[0][at]), pa.array(hashes[1][at]), pa.array(low.astype(np.int32))], names=["doc_id", "_file", "text_hash", "one", "two", "low"])
 
     return run
 
 
 def _covered(window: int):
-    """Ranges of words from lost windows: rows are doc_id, text_hash, spans; neighbouring ranges merge."""
+    """Ranges of words from lost windows: rows are doc_id, _file, text_hash, spans; neighbouring ranges merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +223,7 @@ def _covered(window: int):
                     else:
                         ranges.append([s[0], end])
                 out.append([x for r in ranges for x in r])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "cut"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ROW], pa.array(out, pa.list_(pa.int32()))], names=[*ROW, "cut"])
 
     return run
 
@@ -198,42 +251,63 @@ def _rewritten(with_text: bool):
     return run
 
 
-def _only(texts: DataFrame, some: DataFrame) -> DataFrame:
-    """The texts with ids in ``some``, before they are shuffled, where the ids are few enough to broadcast."""
-    ids = some.select("doc_id").distinct()
-    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if some.count() <= ID_ROWS else texts
+def confirmed(texts: DataFrame, anchors: DataFrame, window: int, phrase: int) -> DataFrame:
+    """anchor, phrase (letters) and shard of every phrase that is an anchor in two documents, stored."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high")).where("doc_id < high")
+    firsts = recurring.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    where = anchors.select("doc_id", "_file").distinct()
+    wanted = store(firsts.join(where, "doc_id").withColumn("n", F.size("anchors")), "firsts")
+    own = attached(texts.select("doc_id", "_file", "text"), wanted, ["_file", "doc_id"], weight="n")
+    found = store(own.mapInArrow(_phrases(window, phrase), f"doc_id {kind}, anchor long, phrase binary").dropDuplicates(["anchor"]), "phrases")
+    shards = max(1, -(-found.count() // SHARD_PHRASES))
+    return found.select("anchor", "phrase", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+
+
+def located(texts: DataFrame, anchors: DataFrame, phrases: DataFrame, window: int, phrase: int) -> DataFrame:
+    """The segments that start from what the shards' automata find in the documents; ``texts`` has doc_id, _file, text_hash, text."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    routes = store(anchors.join(phrases.select("anchor", "shard"), "anchor").select("doc_id", "_file", "shard").distinct(), "routes")
+    lots = routes.groupBy("shard").agg(F.ceil(F.count("*") / LOT).alias("lots"))
+    to = F.struct("shard", F.pmod(F.xxhash64("doc_id"), F.col("lots")).alias("lot"))
+    sent = routes.join(lots, "shard").groupBy("doc_id", "_file").agg(F.collect_list(to).alias("to"), F.count("*").alias("weight"))
+    streamed = attached(texts, store(sent, "sent"), ["_file", "doc_id"], weight="weight").withColumn("to", F.explode("to"))
+    streamed = streamed.select("to.shard", "to.lot", F.lit(1).alias("tag"), *ROW, "text", F.lit(None).cast("binary").alias("phrase"))
+    none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in (*ROW, "text")]
+    compiled = phrases.join(lots, "shard").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select("shard", "lot", F.lit(0).alias("tag"), *none, "phrase")
+    rows = compiled.unionByName(streamed).repartition("shard", "lot").sortWithinPartitions("shard", "lot", "tag")
+    return rows.mapInArrow(_located(window, phrase), f"doc_id {kind}, _file long, text_hash long, anchor long, one long, two long, low int, n int")
 
 
 def repeated(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """doc_id, text_hash and ``cut`` (begin, end, begin, end ... in words) of each text that loses words; ``df`` has doc_id, text, text_hash."""
+    """doc_id, _file, text_hash and ``cut`` (begin, end, begin, end ... in words) of each text that loses words; ``df`` has doc_id, _file, text_hash, text."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    texts = df.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = store(texts.select("doc_id", "text").mapInArrow(_anchors(window, phrase), f"doc_id {kind}, anchor long"), "anchors")
-    recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    own = store(anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "suspects")
-    located = _only(texts, own).join(own, "doc_id").select("doc_id", "text_hash", "text", "anchors")
-    segments = store(located.mapInArrow(_located(window, phrase), f"doc_id {kind}, text_hash long, anchor long, one long, two long, low int, n int"), "segments")
-
-    first = segments.groupBy("anchor", "one", "two").agg(F.min("doc_id").alias("first"))
+    texts = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select(*ROW, "text")
+    anchors = store(texts.select("doc_id", "_file", "text").mapInArrow(_anchors(window, phrase), f"doc_id {kind}, _file long, anchor long"), "anchors")
+    phrases = confirmed(texts, anchors, window, phrase)
+    segments = store(located(texts, anchors, phrases, window, phrase), "segments")
+
+    # Stored, so that both sides of the next join are shuffles that adaptive execution can split where a passage is very common.
+    first = store(segments.groupBy("anchor", "one", "two").agg(F.min("doc_id").alias("first")), "first")
     later = segments.join(first, ["anchor", "one", "two"])
-    whole = later.where("doc_id > first").select("doc_id", "text_hash", "low", "n")
+    whole = later.where("doc_id > first").select(*ROW, "low", "n")
     several = first.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("first").alias("high")).where("kinds > 1 AND low < high").select("anchor")
-    apart = later.where("doc_id = first").join(several, "anchor", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
-    apart = store(apart, "apart")
-    each = _only(texts, apart).join(apart, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spans")
-    each = store(each.mapInArrow(_windows(window), f"doc_id {kind}, text_hash long, one long, two long, low int"), "windows")
-    least = each.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("one", "two", "first")
-    single = each.join(least, ["one", "two"]).where("doc_id > first").select("doc_id", "text_hash", "low", F.lit(1).alias("n"))
-    lost = whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
-    return lost.mapInArrow(_covered(window), f"doc_id {kind}, text_hash long, cut array<int>")
+    apart = later.where("doc_id = first").join(several, "anchor", "left_semi").groupBy(*ROW).agg(F.collect_list(F.struct("low", "n")).alias("spans"), F.count("*").alias("weight"))
+    each = attached(texts, store(apart, "apart"), list(ROW), weight="weight")
+    each = store(each.mapInArrow(_windows(window), f"doc_id {kind}, _file long, text_hash long, one long, two long, low int"), "windows")
+    least = store(each.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("one", "two", "first"), "least")
+    single = each.join(least, ["one", "two"]).where("doc_id > first").select(*ROW, "low", F.lit(1).alias("n"))
+    lost = whole.unionByName(single).groupBy(*ROW).agg(F.collect_list(F.struct("low", "n")).alias("spans"))
+    return lost.mapInArrow(_covered(window), f"doc_id {kind}, _file long, text_hash long, cut array<int>")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text for every row."""
+    bounded_batches(df.sparkSession)
     body = F.col(text).cast("string")
-    rows = df.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
+    rows = addressed(df.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash")))
     cut = store(repeated(rows, window, phrase), "cuts")
-    joined = rows.join(sized_broadcast(cut, cut.count(), 200_000), ["doc_id", "text_hash"], "left").select("doc_id", "text", "cut")
+    joined = attached(rows, cut.withColumn("weight", F.size("cut")), list(ROW), "left", "weight").select("doc_id", "text", "cut")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_rewritten(with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 

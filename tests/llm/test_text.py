@@ -169,10 +169,12 @@ def brute_repeats(rows, window):
     return out
 
 
-def test_repeats(spark, corpus, awkward, empty):
-    """Equal to brute force at two window sizes; kept texts match their digests."""
+def test_repeats(spark, corpus, awkward, empty, monkeypatch):
+    """Equal to brute force at two window sizes, with one shard and many; kept texts match their digests."""
     df = spark.createDataFrame(corpus, "doc_id long, text string")
-    for window, phrase in ((50, 20), (9, 3)):
+    for window, phrase, shard, lot in ((50, 20, 1 << 14, 4096), (9, 3, 60, 5)):
+        monkeypatch.setattr(phrases, "SHARD_PHRASES", shard)
+        monkeypatch.setattr(phrases, "LOT", lot)
         got = phrases.remove_repeats(df, window=window, phrase=phrase).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeats(corpus, window)
         assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
@@ -182,6 +184,25 @@ def test_repeats(spark, corpus, awkward, empty):
     assert phrases.remove_repeats(empty).count() == 0
 
 
+def test_withheld_shard(spark, corpus, monkeypatch):
+    """What the automata find is what is removed: without one shard's, the occurrences of its phrases are missing, and only these."""
+    monkeypatch.setattr(phrases, "SHARD_PHRASES", 40)
+    rows = common.addressed(spark.createDataFrame(corpus, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text")))
+    anchors = common.store(rows.select("doc_id", "_file", "text").mapInArrow(phrases._anchors(14, 8), "doc_id long, _file long, anchor long"), "anchors")
+    compiled = phrases.confirmed(rows, anchors, 14, 8)
+    shard_of = {r.anchor: r.shard for r in compiled.collect()}
+    assert len(set(shard_of.values())) > 3
+    found = lambda some: {(r.doc_id, r.anchor, r.low) for r in phrases.located(rows.select(*phrases.ROW, "text"), anchors, some, 14, 8).collect() if r.anchor in shard_of}
+    every = found(compiled)
+    assert {a for _, a, _ in every} == set(shard_of)
+    gone = min(shard_of.values())
+    assert found(compiled.where(F.col("shard") != gone)) == {x for x in every if shard_of[x[1]] != gone} != every
+    # The automaton alone finds them: with a phrase's letters changed, its occurrences are gone too.
+    changed = min(shard_of)
+    spoilt = compiled.withColumn("phrase", F.when(F.col("anchor") == changed, F.unhex(F.lit("3F" * 8))).otherwise(F.col("phrase")))
+    assert found(spoilt) == {x for x in every if x[1] != changed}
+
+
 def test_quality(spark, folder, awkward, empty):
     """Held-out rows are told apart; nothing is learnt from them; awkward rows have scores."""
     rng = random.Random(2)
