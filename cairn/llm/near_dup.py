@@ -252,47 +252,63 @@ def confirmed(pairs: DataFrame, texts: DataFrame, where: DataFrame, k: int, fold
     return rows.mapInArrow(_confirmed(k, fold, percent), f"a {kind}, b {kind}").distinct()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys (long columns) as tables."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables in which no run of rows with equal keys (long columns) is cut off, and where these runs begin and end."""
+    rest: pa.Table | None = None
+
+    def cut(table: pa.Table) -> list[int]:
+        values = np.stack([table[c].to_numpy() for c in keys], axis=1)
+        return [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), table.num_rows]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], axis=1)
-        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            if held and tuple(values[a]) != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = tuple(values[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+        at = cut(table)
+        if len(at) > 2:
+            yield table.slice(0, at[-2]), list(zip(at[:-2], at[1:-1], strict=True))
+        rest = table.slice(at[-2])
+    if rest is not None:
+        yield rest, [(0, rest.num_rows)]
+
+
+def _of_kind(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Registers of the rows that have some, and each row's place among these or -1."""
+    valid = np.asarray(table[kind].is_valid())
+    place = np.where(valid, np.cumsum(valid) - 1, -1)
+    return _registers(table[kind].filter(pa.array(valid))), place
 
 
 def _passing(percent: int):
-    """The rows of two blocks of a bucket that have a partner which passes the estimate and isn't known to be connected."""
+    """The rows of two blocks of a bucket that have a partner which passes the estimate and isn't known to be connected.
+
+    Two rows that share several buckets are looked at in the first of these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("key", "i", "j")):
-            block, size = rows["block"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
-            label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-            hit = np.zeros(rows.num_rows, bool)
+        for table, runs in _runs(batches, ("key", "i", "j")):
+            block, i, j, key = (table[c].to_numpy() for c in ("block", "i", "j", "key"))
+            size = table["n"].to_numpy().astype(np.float64)
+            label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+            shared = [frozenset(x) for x in table["keys"].to_pylist()]
+            hit = np.zeros(table.num_rows, bool)
             for kind in ("small", "large"):
-                own = np.flatnonzero(np.asarray(rows[kind].is_valid()))
-                left, right = own[block[own] == rows["i"][0].as_py()], own[block[own] == rows["j"][0].as_py()]
-                if not len(left) or not len(right):
-                    continue
-                regs = _registers(rows[kind].take(pa.array(right)))
-                for low in range(0, len(left), 256):
-                    some = left[low : low + 256]
-                    like = estimate(_registers(rows[kind].take(pa.array(some))), regs, size[some], size[right]) >= near(percent)
-                    like &= label[some][:, None] != label[right][None, :]
-                    hit[some] |= like.any(1)
-                    hit[right] |= like.any(0)
-            if hit.any():
-                yield from rows.filter(pa.array(hit)).to_batches()
+                regs, place = _of_kind(table, kind)
+                for low, high in runs:
+                    own = np.arange(low, high)[place[low:high] >= 0]
+                    left, right = own[block[own] == i[low]], own[block[own] == j[low]]
+                    if len(own) < 2 or not len(left) or not len(right):
+                        continue
+                    for at in range(0, len(left), 256):
+                        some = left[at : at + 256]
+                        like = estimate(regs[place[some]], regs[place[right]], size[some], size[right]) >= near(percent)
+                        like &= label[some][:, None] != label[right][None, :]
+                        for x, y in zip(*np.nonzero(like), strict=True):
+                            a, b = some[x], right[y]
+                            if not (hit[a] and hit[b]) and min(shared[a] & shared[b]) == key[low]:
+                                hit[a] = hit[b] = True
+            yield from table.filter(pa.array(hit)).to_batches()
 
     return run
 
@@ -332,12 +348,13 @@ def _links(k: int, fold: bool, percent: int):
                         yield ids[a], ids[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("key", "i", "j")):
-            i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-            sets = [own for piece in pieces(rows["text"], fold) for own in shingle_sets(piece, k)]
-            found = list(forest(rows["rep"].to_pylist(), rows["label"].to_pylist(), sets, (rows["block"].to_numpy() == j).astype(np.int64), [rows[c].to_pylist() for c in ("small", "large")], i != j))
+        for table, runs in _runs(batches, ("key", "i", "j")):
+            sets = [own for piece in pieces(table["text"], fold) for own in shingle_sets(piece, k)]
+            ids, labels, regs = table["rep"].to_pylist(), table["label"].to_pylist(), [table[c].to_pylist() for c in ("small", "large")]
+            block, i, j = (table[c].to_numpy() for c in ("block", "i", "j"))
+            found = [x for a, b in runs for x in forest(ids[a:b], labels[a:b], sets[a:b], (block[a:b] == j[a]).astype(np.int64), [r[a:b] for r in regs], i[a] != j[a])]
             if found:
-                kind = rows["rep"].type
+                kind = table["rep"].type
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)], names=["a", "b"])
 
     return run
@@ -350,7 +367,9 @@ def _rest(members: DataFrame, links: DataFrame, regs: DataFrame) -> DataFrame:
     labels = store(up.join(higher, "hub", "left").select(F.col("a").alias("rep"), F.coalesce("top", "hub").alias("label")), "labels")
     others = store(members.where("rep <> hub").select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "others")
     mixed = store(others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
-    return store(others.join(mixed, "key").join(regs, "rep"), "rest")
+    rows = store(others.join(mixed, "key"), "mixed")
+    lists = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # BANDS keys of each kind at most
+    return store(rows.join(lists, "rep").join(regs, "rep"), "rest")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, fold: bool = True, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -380,8 +399,9 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, fold: bool = T
         dealt = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
         together = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-        dealt = dealt.withColumn("pair", pair).select("key", "pair.i", "pair.j", "block", "rep", "label", "n", "small", "large")
+        dealt = dealt.withColumn("pair", pair).select("key", "pair.i", "pair.j", "block", "rep", "label", "keys", "n", "small", "large")
         passing = store(together(dealt).mapInArrow(_passing(percent), dealt.schema), "passing")
+        passing = passing.drop("keys")
         own = attached(texts, store(where.join(passing.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "needed"), ["doc_id"], "left_semi")
         carried = together(passing.join(own.withColumnRenamed("doc_id", "rep"), "rep"))
         links = links.unionByName(carried.mapInArrow(_links(k, fold, percent), f"a {kind}, b {kind}"))
