@@ -38,7 +38,7 @@ from cairn.llm.shingles import PIECE, _layout
 SLOTS = 1 << 14
 SAMPLE = 4000
 #: At most so many languages, those declared most often.
-LANGUAGES = 64
+LANGUAGES = 256
 LEAST_DECLARED = 5
 EFFECTIVE = 30
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 100.0
@@ -47,6 +47,9 @@ CONFIDENCE = 0.5
 #: Tempered log likelihood ratio to random bytes below which a text is in none of the languages: one nat a trigram.
 LEAST_TEXT = -1.0 * EFFECTIVE
 
+# Labels under which countries register names of all kinds.
+GENERAL = ("ac", "co", "com", "edu", "gob", "gov", "ne", "net", "or", "org")
+
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LOWER[:65] = 32  # digits, signs and white space are one blank
@@ -167,19 +170,25 @@ def evidence_tables(rows: DataFrame, languages: Sequence[str]) -> tuple[DataFram
     return hosts, likelihood("_declared", "_said"), likelihood("_suffix", "_ends")
 
 
-def identify(df: DataFrame, text: Column, declared: Column, host: Column, domain: Column, suffix: Column, key: Column, accepted: Sequence[str] | None = None) -> DataFrame:
-    """Add language, language_confidence, text_language and language_kept to every row of ``df``."""
+def identify(df: DataFrame, text: Column, declared: Column, host: Column, domain: Column, suffix: Column, key: Column, accepted: Sequence[str] | None = None, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, language, language_confidence, text_language and language_kept of every row of ``df``.
+
+    Texts are scored once; the scores are stored and all else is worked out from
+    them.  Columns of ``df`` are read by the given expressions only, so their
+    names don't matter, but that ``carry`` may not hold the four new ones.
+    """
     bounded_batches(df.sparkSession)
     model = fit_text(df, text, declared, key)
-    names = F.array(*map(F.lit, model.languages)) if model.languages else None
-    if names is None:
+    if not model.languages:
         none = F.lit(None).cast("string")
-        return df.withColumns({"language": none, "language_confidence": F.lit(0.0), "text_language": none, "language_kept": F.lit(False)})
-    given = {"_declared": declared.cast("string"), "_host": host.cast("string"), "_domain": domain.cast("string"), "_suffix": suffix.cast("string")}
+        return df.select(*carry, none.alias("language"), F.lit(0.0).alias("language_confidence"), none.alias("text_language"), F.lit(False).alias("language_kept"))
+    names = F.array(*map(F.lit, model.languages))
+    given = {"_declared": declared, "_host": host, "_domain": domain, "_suffix": suffix}
+    rows = df.select(F.struct(*carry).alias("_carried"), *[v.cast("string").alias(k) for k, v in given.items()], text.alias("_body"))
     best = F.array_position("_text", F.array_max("_text")).cast("int") - 1
-    rows = text_evidence(df.withColumns(given), text, model).withColumn("_best", F.when(F.array_max("_text") > 0, best))
-    narrow = store(rows.select("_best", "_host", "_domain", "_suffix", "_declared"), "evidence")
-    for table, column in zip(evidence_tables(narrow, model.languages), ("_host", "_declared", "_suffix"), strict=True):
+    rows = text_evidence(rows, F.col("_body"), model).drop("_body")
+    rows = store(rows.withColumn("_best", F.when(F.array_max("_text") > 0, best)), "evidence")
+    for table, column in zip(evidence_tables(rows, model.languages), ("_host", "_declared", "_suffix"), strict=True):
         table = store(table, "prior")
         rows = rows.join(sized_broadcast(table, table.count(), 20_000), column, "left")
     none = F.array_repeat(F.lit(0.0), len(model.languages))
@@ -192,21 +201,36 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, domain
     place = F.array_position("_total", top).cast("int")
     rows = rows.withColumn("_place", F.when(F.col("_text").isNotNull(), place))
     kept = (F.get("_text", F.col("_place") - 1) > LEAST_TEXT) & (F.when(F.col("_place").isNotNull(), confidence) >= CONFIDENCE)
-    rows = rows.withColumns({
-        "language": F.get(names, F.col("_place") - 1),
-        "language_confidence": F.when(F.col("_place").isNotNull(), confidence).otherwise(0.0),
-        "text_language": F.get(names, F.col("_best")),
-        "language_kept": F.coalesce(kept, F.lit(False)),
-    })
+    found = F.get(names, F.col("_place") - 1)
     if accepted is not None:
-        rows = rows.withColumn("language_kept", F.col("language_kept") & F.coalesce(F.col("language").isin(*accepted), F.lit(False)))
-    return rows.drop("_text", "_best", "_host", "_domain", "_suffix", "_declared", "_prior", "_said", "_ends", "_total", "_place")
+        kept &= F.coalesce(found.isin(*accepted), F.lit(False))
+    return rows.select(
+        *[F.col(f"_carried.`{c}`") for c in carry],
+        found.alias("language"),
+        F.when(F.col("_place").isNotNull(), confidence).otherwise(0.0).alias("language_confidence"),
+        F.get(names, F.col("_best")).alias("text_language"),
+        F.coalesce(kept, F.lit(False)).alias("language_kept"),
+    )
+
+
+def suffix_of(host: Column) -> Column:
+    """The last label of an address; null for a name without dots."""
+    labels = F.split(host, r"\.")
+    return F.when(F.size(labels) > 1, F.nullif(F.try_element_at(labels, F.lit(-1)), F.lit("")))
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
-    """identify() for the documents table: the language column is the declaration and the source is the host."""
-    none = F.lit(None).cast("string")
-    return identify(docs, F.col("text"), F.col("lang"), F.col("source"), none, none, F.col("doc_id"))
+def domain_of(host: Column) -> Column:
+    """The labels of an address that one owner registers: the last two, or three under a country's general label; null for a name without dots."""
+    labels = F.split(host, r"\.")
+    wide = F.when((F.length(F.try_element_at(labels, F.lit(-1))) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*GENERAL), 3).otherwise(2)
+    wide = F.least(wide, F.size(labels))
+    return F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -wide, wide), "."))
+
+
+def of_documents(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """identify() for the documents table: the language column is the declaration, the source is the host and, where it is an address, has suffix and domain."""
+    host = F.lower("source")
+    return identify(docs, F.col("text"), F.col("lang"), host, domain_of(host), suffix_of(host), F.col("doc_id"), carry=carry)
 
 
 def op2_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,10 +243,9 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all pages, with markup language, address suffix, domain and host as evidence."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
-    labels = F.split(host, r"\.")
-    domain = F.when(F.size(labels) >= 3, F.array_join(F.slice(labels, -3, 3), ".")).otherwise(host)
+    host = F.nullif(host, F.lit(""))
     text = F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " ")
     said = F.lower(F.regexp_extract("html", r"""(?i)<html[^>]*\slang=["']?([a-z]{2,3})""", 1))
-    given = pages.select("page_id", text.alias("text"), F.nullif(said, F.lit("")).alias("said"), F.nullif(host, F.lit("")).alias("host"), F.nullif(domain, F.lit("")).alias("domain"), F.element_at(labels, -1).alias("suffix"))
-    found = identify(given, F.col("text"), F.col("said"), F.col("host"), F.col("domain"), F.nullif(F.col("suffix"), F.lit("")), F.col("page_id"))
+    given = pages.select("page_id", text.alias("text"), F.nullif(said, F.lit("")).alias("said"), host.alias("host"), domain_of(host).alias("domain"), suffix_of(host).alias("suffix"))
+    found = identify(given, F.col("text"), F.col("said"), F.col("host"), F.col("domain"), F.col("suffix"), F.col("page_id"), carry=("page_id",))
     return found.select("page_id", "language", "language_confidence", "text_language", F.col("language_kept").alias("kept"))
