@@ -1,24 +1,27 @@
 """WARC archives with an external index merge (operator 10).
 
 1. Payload digests are grouped; of equal payloads the capture with the largest
-   id is the response and the others revisit it.
+   id is the response and the others revisit it.  What that says of a row goes
+   back to it by its address, so payloads are never shuffled.
 2. Every task writes its captures as WARC/1.1 records into one gzip file (a
    member per record) in the shared folder.  A file counts once its row stands
    in the stored manifest, so files of lost attempts are never read.
 3. The archives are read back record by record.  Each one's index entries are
    sorted by (URL key, timestamp, id) and stored as a run.
-4. While there are more than ``FAN_IN`` runs, tasks merge ``FAN_IN`` at a time into
-   longer ones.  Then ranges of keys are merged by themselves: a task opens the
-   runs at its range and merges them with a loser tree, holding one batch of
-   rows per run.  Ranges in order give the capture histories of all URLs in
-   global order.
+4. Keys are cut into ranges of ``RANGE_ROWS`` entries, about.  While there are
+   more than ``FAN_IN`` runs, groups of ``FAN_IN`` are merged into longer ones; a task
+   merges some ranges of a group, fewer in each round, so every round has as many
+   tasks as its input asks for.  At last each range is merged by itself.  Merges
+   use a loser tree and hold one batch of rows per run.  Ranges in order give the
+   capture histories of all URLs in global order.
 
 The URL key is the host's labels reversed, then path and query.  Pages without a
 timestamp column get one second per id from ``EPOCH``.
 
 Nulls: a null payload is empty; a null URL has the empty key; rows without an id
 are written too, as revisits where an equal payload has an id.  Repeated rows make
-one record each; with the response's id they are responses alike.
+one record each, with a record id of its own; with the response's id they are
+responses alike, and the one whose address is largest is the one referred to.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded_batches, scratch_path, sized_broadcast, store
+from cairn.llm.common import addressed, attached, bounded_batches, forget, scratch_path, store
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 FAN_IN = 64
@@ -82,14 +85,14 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress(head.encode() + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
-def capture(page_id: int | None, url: str | None, time: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def capture(page_id: int | None, url: str | None, time: str, payload: bytes, digest: str, kind: str, refers_to: int | None, record_id: str, refers_to_record: str | None = None) -> bytes:
     """The record of a page: an HTTP response, or a revisit without payload."""
     named = lambda i: uuid.uuid5(uuid.NAMESPACE_URL, f"capture:{i}").urn
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<{named(page_id)}>"), ("WARC-Date", time), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<{named(record_id)}>"), ("WARC-Date", time), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
     if kind == "revisit":
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{named(refers_to)}>"), ("X-Refers-To-Page-ID", "" if refers_to is None else str(refers_to))]
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{named(refers_to_record)}>"), ("X-Refers-To-Page-ID", "" if refers_to is None else str(refers_to))]
     return record(headers, http if kind == "revisit" else http + payload)
 
 
@@ -204,7 +207,7 @@ def _write(folder: str):
                     out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", stamp(0)), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                 for r in rows:
                     payload = (r["payload"] or "").encode()
-                    out.write(capture(r["page_id"], r["url"], r["timestamp"] or stamp(r["page_id"]), payload, base64.b32encode(bytes.fromhex(r["sha1"])).decode(), r["record_type"], r["refers_to"]))
+                    out.write(capture(r["page_id"], r["url"], r["timestamp"] or stamp(r["page_id"]), payload, base64.b32encode(bytes.fromhex(r["sha1"])).decode(), r["record_type"], r["refers_to"], r["record_id"], r["refers_to_record"]))
                     n += 1
         if out is not None:
             out.close()
@@ -255,18 +258,22 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _longer(folder: str):
-    """Merges whole runs into one; yields its path."""
+    """Merges a range of some runs into a file; yields the group, the range and the path, or none if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for paths in batch.column("runs").to_pylist():
-                target = f"{folder}/{uuid.uuid4().hex}.parquet"
-                fs, local = _open(target)
-                fs.create_dir(local.rpartition("/")[0], recursive=True)
-                with pq.ParquetWriter(local, _INDEX, filesystem=fs) as out:
-                    for part in _tables(merged(paths, None, None), _INDEX):
-                        out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([target])], names=["run"])
+            for r in batch.to_pylist():
+                low, high = (tuple(r[k].values()) if r[k] else None for k in ("low", "high"))
+                target, out = f"{folder}/{uuid.uuid4().hex}.parquet", None
+                for part in _tables(merged(r["runs"], low, high), _INDEX):
+                    if out is None:
+                        fs, local = _open(target)
+                        fs.create_dir(local.rpartition("/")[0], recursive=True)
+                        out = pq.ParquetWriter(local, _INDEX, filesystem=fs)
+                    out.write_batch(part)
+                if out is not None:
+                    out.close()
+                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int64()), pa.array([r["first"]], pa.int64()), pa.array([r["last"]], pa.int64()), pa.array([target])], names=["part", "first", "last", "run"])
 
     return run
 
@@ -275,11 +282,20 @@ def captured(df: DataFrame, key: str = "page_id", url: str = "url", payload: str
     """The captures with digest, record_type and refers_to decided; payloads below ``least`` bytes are never revisits."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = df.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), (F.col(timestamp).cast("string") if timestamp else F.lit(None).cast("string")).alias("timestamp"), body.alias("payload"), F.sha1(body.cast("binary")).alias("sha1"))
-    latest = rows.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.max("page_id").alias("latest"), F.count("*").alias("copies")).where("copies > 1 AND latest IS NOT NULL").select("sha1", "latest")
-    latest = store(latest, "latest")
-    rows = rows.join(sized_broadcast(latest, latest.count(), 200_000), "sha1", "left")
-    revisit = F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))
-    return rows.select("page_id", "url", "timestamp", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("latest")).alias("refers_to"))
+    rows = addressed(rows)
+    at = F.struct("page_id", "_file", "_row")
+    narrow = store(rows.where(F.octet_length("payload") >= least).select("sha1", "page_id", "_file", "_row"), "digests")
+    latest = narrow.groupBy("sha1").agg(F.max(at).alias("latest"), F.count("*").alias("copies")).where("copies > 1 AND latest.page_id IS NOT NULL").select("sha1", "latest")
+    later = narrow.join(store(latest, "latest"), "sha1").where("NOT page_id <=> latest.page_id")
+    verdicts = store(later.select("_file", "_row", F.col("latest.page_id").alias("refers_to"), record_name(*[F.col(f"latest.{c}") for c in ("page_id", "_file", "_row")]).alias("refers_to_record")), "revisits")
+    rows = attached(rows, verdicts, ["_file", "_row"], "left")
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
+    return rows.select("page_id", "url", "timestamp", "payload", "sha1", kind.alias("record_type"), "refers_to", record_name(*map(F.col, ("page_id", "_file", "_row"))).alias("record_id"), "refers_to_record")
+
+
+def record_name(page_id: Column, file: Column, row: Column) -> Column:
+    """What a record's id is made from: the page and where it stands."""
+    return F.concat_ws(":", F.coalesce(page_id.cast("string"), F.lit("")), file.cast("string"), row.cast("string"))
 
 
 def archive(rows: DataFrame) -> DataFrame:
@@ -289,27 +305,53 @@ def archive(rows: DataFrame) -> DataFrame:
     return store(rows.mapInArrow(_write(scratch_path(spark, "warc")), "file string, records long"), "manifest")
 
 
+def _within(runs: list[list[tuple[int, int, str]]], first: int, last: int) -> list[str]:
+    """The files of runs that may hold rows of the ranges from first to last."""
+    return [file for run in runs for a, b, file in run if a < last and first < b]
+
+
+def _merged_groups(spark: SparkSession, groups: list[list[list[tuple[int, int, str]]]], edges: list[tuple | None], wide: int, spec: str) -> list[list[tuple[int, int, str]]]:
+    """Each group of runs as one run, by tasks of ``wide`` ranges."""
+    ranges = len(edges) - 1
+    tasks = []
+    for g, group in enumerate(groups):
+        for first in range(0, ranges, wide):
+            last = min(ranges, first + wide)
+            tasks.append((g, first, last, edges[first], edges[last], _within(group, first, last)))
+    longer = spark.createDataFrame(tasks, spec).repartition(len(tasks), "part", "first").mapInArrow(_longer(scratch_path(spark, "runs")), "part long, first long, last long, run string")
+    stored = store(longer, "longer")
+    out: list[list[tuple[int, int, str]]] = [[] for _ in groups]
+    for r in stored.orderBy("part", "first").collect():  # a row per file
+        out[r.part].append((r.first, r.last, r.run))
+    forget(stored)
+    return out
+
+
 def histories(manifest: DataFrame) -> DataFrame:
     """Index entries of all archives, stored; ``place`` numbers them from 0 in global order of URL key, timestamp and id."""
     spark = manifest.sparkSession
     files = manifest.count()
     marks = store(manifest.select("file").repartition(max(1, files), "file").mapInArrow(_index(scratch_path(spark, "runs")), "run string, rows long, url_key string, timestamp string, page_id long"), "marks")
-    listed = marks.select("run", "rows").distinct().collect()
+    listed = marks.select("run", "rows").distinct().collect()  # a row per archive
     runs, total = sorted(r.run for r in listed), sum(r.rows for r in listed)
-    while len(runs) > FAN_IN:
-        groups = spark.createDataFrame([(runs[i : i + FAN_IN],) for i in range(0, len(runs), FAN_IN)], "runs array<string>")
-        longer = store(groups.repartition(-(-len(runs) // FAN_IN)).mapInArrow(_longer(scratch_path(spark, "runs")), "run string"), "longer")
-        runs = sorted(r.run for r in longer.collect())
     parts = max(1, -(-total // RANGE_ROWS))
-    bounds: list[tuple] = []
+    edges: list[tuple | None] = [None, None]
     if parts > 1:
-        ordered = marks.select("url_key", "timestamp", "page_id")
-        found = ordered.withColumn("part", F.ntile(parts).over(Window.orderBy("url_key", "timestamp", "page_id"))).groupBy("part").agg(F.min(F.struct("url_key", "timestamp", "page_id")).alias("low")).where("part > 1").collect()
-        bounds = sorted({tuple(r.low) for r in found})
-    edges = [None, *bounds, None]
+        # Ranges of the marks, dealt by a sample of them: any bounds are right, and even ones are quick.
+        ordered = marks.select("url_key", "timestamp", "page_id").repartitionByRange(parts, "url_key", "timestamp", "page_id")
+        found = ordered.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("url_key", "timestamp", "page_id")).alias("low")).collect()  # a row per range
+        edges = [None, *sorted({tuple(r.low) for r in found})[1:], None]
     key = "struct<url_key:string,timestamp:string,page_id:long>"
-    tasks = spark.createDataFrame([(i, a, b, runs) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))], f"part long, low {key}, high {key}, runs array<string>")
-    rows = store(tasks.repartition(len(edges) - 1, "part").mapInArrow(_merge, f"{_SQL_INDEX}, part long, place long"), "histories")
+    spec = f"part long, first long, last long, low {key}, high {key}, runs array<string>"
+    ranges = len(edges) - 1
+    # A run is a list of (first range, last range, file) in order.
+    held = [[(0, ranges, r)] for r in runs]
+    while len(held) > FAN_IN:
+        groups = [held[i : i + FAN_IN] for i in range(0, len(held), FAN_IN)]
+        of_group = max(1, -(-total // (len(groups) * RANGE_ROWS * FAN_IN)))  # tasks
+        held = _merged_groups(spark, groups, edges, -(-ranges // of_group), spec)
+    tasks = [(i, i, i + 1, edges[i], edges[i + 1], _within(held, i, i + 1)) for i in range(ranges)]
+    rows = store(spark.createDataFrame(tasks, spec).repartition(ranges, "part").mapInArrow(_merge, f"{_SQL_INDEX}, part long, place long"), "histories")
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
     return rows.join(starts, "part").withColumn("place", F.col("place") + F.col("start")).drop("part", "start")
