@@ -7,7 +7,8 @@ equal blocks of about ``BLOCK`` words.  Blocks are seats: the highest quotients
 quotas.  A part with n blocks and q seats takes every block q // n times, and
 q % n blocks, chosen by a seeded permutation, once more.  Since a target is at
 most twice its source's size, no part gets more than 2n seats and no word is
-taken more than twice.
+taken more than twice.  Products of word and block numbers are decimals, so parts
+of more words than a long's root don't overflow.
 
 Nulls: a null text has size 0; the null source is a source, last in order; a
 null doc_id is an id like any other.  Repeated rows each stand in the order.
@@ -17,7 +18,7 @@ a mix; windows without a partition run over these alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import WORD, documents, hex_long, running_total, store
@@ -29,8 +30,10 @@ BLOCK = 128
 SHARDS = 16
 ORDER_BUCKETS = 64
 SEED = "mix-1"
-#: A prime above any part's number of blocks: multiplying by it permutes the blocks.
-STRIDE = 2147483629
+#: Primes: multiplying by one that doesn't divide a part's number of blocks permutes the blocks.
+STRIDE, OTHER_STRIDE = 2147483629, 2147483587
+#: Products of word and block numbers: parts may hold 1e15 words and more.
+_WIDE = "decimal(19,0)"
 
 
 def measured(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -90,6 +93,26 @@ def seats(parts: DataFrame) -> DataFrame:
     return parts.join(moved, ["place", "shard"], "left").withColumn("q", F.col("near") + F.coalesce("moved", F.lit(0))).drop("near", "gap", "moved")
 
 
+def _share(a: Column, b: Column, c: Column) -> Column:
+    """a * b // c of whole numbers whose product may be beyond a long."""
+    return F.call_function("div", a.cast(_WIDE) * b.cast(_WIDE), c.cast(_WIDE)).cast("long")
+
+
+def words_taken(begin: Column, size: Column, words: Column, n: Column, q: Column, offset: Column) -> Column:
+    """Words taken of a document that stands at ``begin`` in a part of ``words`` words and ``n`` blocks, of which ``q`` are taken."""
+    end = begin + size
+    stride = F.when(n % F.lit(STRIDE) == 0, F.lit(OTHER_STRIDE)).otherwise(F.lit(STRIDE))
+
+    def add(total: Column, block: Column) -> Column:
+        place = F.pmod(stride.cast(_WIDE) * block.cast(_WIDE) + offset, n.cast(_WIDE)).cast("long")
+        held = F.greatest(F.least(end, _share(block + 1, words, n)) - F.greatest(begin, _share(block, words, n)), F.lit(0))
+        return total + F.when(place < q % n, held).otherwise(F.lit(0)).cast("long")
+
+    first = F.greatest(_share(begin, n, words) - 1, F.lit(0).cast("long"))
+    last = F.least(_share(end, n, words) + 1, n - 1)
+    return size * F.floor(q / n) + F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), add)
+
+
 def mix(sizes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and the columns ``carry`` for every row of ``measured``'s table."""
     # Both small tables are used more than once, so each is computed by itself and stored.
@@ -103,18 +126,7 @@ def mix(sizes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     parts = store(parts, "seats")
     rows = running_total(rows, ["place", "shard"], [F.col("rank"), F.col("doc_id"), F.col("size"), F.col("crc")], F.col("size"), F.conv(F.substring("rank", 5, 4), 16, 10).cast("long"), ORDER_BUCKETS, "begin")
     rows = rows.join(F.broadcast(parts), ["place", "shard"], "left")
-    end = F.col("begin") + F.col("size")
-
-    def share(total, block):
-        low, high = F.floor(block * F.col("words") / F.col("n")), F.floor((block + 1) * F.col("words") / F.col("n"))
-        chosen = F.pmod(F.lit(STRIDE) * block + F.col("offset"), F.col("n")) < F.col("q") % F.col("n")
-        return total + F.when(chosen, F.greatest(F.least(end, high) - F.greatest(F.col("begin"), low), F.lit(0))).otherwise(F.lit(0)).cast("long")
-
-    first = F.greatest(F.floor(F.col("begin") * F.col("n") / F.col("words")) - 1, F.lit(0))
-    last = F.least(F.floor(end * F.col("n") / F.col("words")) + 1, F.col("n") - 1)
-    extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), share)
-    whole = F.col("size") * F.floor(F.col("q") / F.col("n"))
-    taken = F.when(F.col("size") > 0, whole + extra).otherwise(F.lit(0)).cast("long")
+    taken = F.when(F.col("size") > 0, words_taken(*map(F.col, ("begin", "size", "words", "n", "q", "offset")))).otherwise(F.lit(0)).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
 
 
