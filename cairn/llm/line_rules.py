@@ -37,8 +37,12 @@ def base(df: DataFrame, text: str = "text", source: str = "source", key: str = "
     rows = df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), body.alias("body"))
     rows = rows.withColumn("words", split_words(F.col("body")))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    grams = F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
-    rows = rows.withColumn("grams", F.when(F.col("n_words") >= WINDOW, grams).otherwise(F.array().cast("array<bigint>")))
+    # Each word is hashed once; hashes of 2, 4 and 8 words are made of two of the last.
+    rows = rows.withColumn("grams", F.transform("words", lambda w: F.xxhash64(w)))
+    for wide in (1, 2, 4):
+        later = F.slice("grams", wide + 1, F.greatest(F.size("grams") - wide, F.lit(0)))
+        rows = rows.withColumn("grams", F.zip_with("grams", later, lambda a, b: F.xxhash64(a, b)))
+    rows = rows.withColumn("grams", F.slice("grams", 1, F.greatest(F.size("grams") - (WINDOW - 1), F.lit(0))))
     rows = rows.withColumn("twice", F.size(F.array_distinct("grams")) < F.size("grams"))
     # Starts of repeated windows, by sorting (hash, start) and comparing neighbours; only where there are any.
     pairs = F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
