@@ -1,8 +1,10 @@
 """The other operators against brute force, round trips and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -90,7 +92,7 @@ def test_near_duplicates(spark, corpus, awkward, empty, monkeypatch):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     want = brute_components(corpus, 4, 80)
     assert len({c for _, c in want.values()}) < len(want) - 50
-    for rows, most in ((1024, 500_000), (4, 20)):
+    for rows, most in ((1024, 500_000), (4, 150)):
         monkeypatch.setattr(near_dup, "BLOCK_ROWS", rows)
         monkeypatch.setattr(near_dup, "LOT", rows)
         monkeypatch.setattr(common.attached, "__defaults__", ("inner", None, most))
@@ -125,7 +127,7 @@ def test_attached(spark, tmp_path):
     some = common.addressed(docs).where("doc_id % 3 = 0").select("doc_id", "_file", F.lit(7).alias("w"), F.col("doc_id").alias("more"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(tuple, docs.join(some.drop("_file"), "doc_id", how).collect()), key=repr)
-        for most, weight in ((10**6, None), (25, None), (5, None), (30, "w")):
+        for most, weight in ((10**6, None), (9, None), (30, "w")):
             got = common.attached(docs, some, ["doc_id"], how, weight, most)
             assert sorted(map(tuple, got.collect()), key=repr) == want
     assert common.attached(docs, some.limit(0), ["doc_id"], "left_anti").count() == 200
@@ -184,6 +186,45 @@ def test_repeats(spark, corpus, awkward, empty, monkeypatch):
     assert phrases.remove_repeats(empty).count() == 0
 
 
+def test_quality_brute_force(spark):
+    """Scores equal those of plain sequential updates over unhashed n-grams."""
+    rng = random.Random(2)
+    vocabulary = {1: "calm River Stone clear7 water light".split(), 0: "BUY now!!! $$ 100% free".split()}
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 2 if rng.random() < 0.8 else 1 - i % 2]) for _ in range(rng.randint(0, 12))), i % 2) for i in range(120)]
+    texts, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    turn = {r.doc_id: r.t for r in texts.select("doc_id", F.xxhash64("doc_id", F.lit("quality")).alias("t")).collect()}
+
+    def grams(text):
+        words = WORD.findall(text)
+        form = [re.sub(r"(.)\1+", r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in w)) for w in words]
+        out = [("w", w) for w in words]
+        for i in range(1, len(words)):
+            out += [("p", words[i - 1], words[i]), ("s", form[i - 1], form[i], words[i - 1] == words[i])]
+        return out
+
+    z, n = Counter(), Counter()
+
+    def weight(x):
+        return 0.0 if abs(z[x]) <= quality.L1 else -(z[x] - math.copysign(quality.L1, z[x])) / ((quality.BETA + n[x] ** 0.5) / quality.ALPHA + quality.L2)
+
+    learnt = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2), key=lambda r: turn[r[0]])
+    for _ in range(quality.EPOCHS):
+        for _, text, label in learnt:
+            own = grams(text)
+            values = {x: quality.GAIN * k / len(own) for x, k in Counter(own).items()} | {"": 1.0}
+            now = {x: weight(x) for x in values}
+            error = 1 / (1 + math.exp(-sum(now[x] * v for x, v in values.items()))) - label
+            for x, v in values.items():
+                g = error * v
+                z[x] += g - ((n[x] + g * g) ** 0.5 - n[x] ** 0.5) / quality.ALPHA * now[x]
+                n[x] += g * g
+    got = {r.doc_id: r.score for r in quality.scored(texts, quality.fit(texts, labels)).collect()}
+    for i, text, _ in rows:
+        own = grams(text)
+        total = sum(weight(x) for x in own) / max(1, len(own)) * quality.GAIN + weight("")
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-4
+
+
 def test_withheld_shard(spark, corpus, monkeypatch):
     """What the automata find is what is removed: without one shard's, the occurrences of its phrases are missing, and only these."""
     monkeypatch.setattr(phrases, "SHARD_PHRASES", 40)
@@ -247,6 +288,77 @@ def test_language_rare(spark):
     assert np.array_equal(model.table[:, 1:], fewer.table) and fewer.table.any()
 
 
+def brute_languages(rows):
+    """id to (language, confidence, kept) by plain counting; rows are id, text, declared, host, domain, suffix."""
+
+    def slots(text):
+        signs = [b + 32 if 65 <= b <= 90 else 32 if b < 128 and not 97 <= b <= 122 else b for b in text.encode()]
+        found = [(signs[i - 1] << 16 | signs[i] << 8 | signs[i + 1]) for i in range(1, len(signs) - 1) if signs[i] != 32]
+        return [(code * 2654435761 % 2**32) >> 18 for code in found], any(x != 32 for x in signs)
+
+    names = sorted(k for k, n in Counter(r[2] for r in rows if r[2]).items() if n >= language.LEAST_DECLARED)
+    counts = {name: Counter() for name in names}
+    for _, text, declared, *_ in {(r[0], *r[1:3]) for r in rows}:
+        if declared in counts and text:
+            counts[declared].update(slots(text)[0])
+    names = [n for n in names if counts[n]]
+    logs = lambda name, slot: math.log((counts[name][slot] + 1) / (sum(counts[name].values()) + language.SLOTS)) + math.log(language.SLOTS)
+    scores = []
+    for r in rows:
+        own, lettered = slots(r[1] or "")
+        scale = min(len(own), language.EFFECTIVE) / max(1, len(own))
+        scores.append([scale * sum(logs(n, x) for x in own) for n in names] if lettered else None)
+    best = [s.index(max(s)) if s and max(s) > 0 else None for s in scores]
+    told = [(b, r) for b, r in zip(best, rows, strict=True) if b is not None]
+    root = Counter(b for b, _ in told)
+    base = [(root[i] + 1) / (len(told) + len(names)) for i in range(len(names))]
+
+    def smoothed(some, parent, weight):
+        own = Counter(b for b, r in told if some(r))
+        total = sum(own.values())
+        return [(own[i] + weight * p) / (total + weight) for i, p in enumerate(parent)]
+
+    out = {}
+    for r, score in zip(rows, scores, strict=True):
+        if score is None:
+            out[r[0]] = (None, 0.0, False)
+            continue
+        total = list(score)
+        if r[3] is not None and any(x[3] == r[3] for _, x in told):
+            domain = smoothed(lambda x, d=r[4]: x[4] == d, base, language.DOMAIN_WEIGHT)
+            total = [t + math.log(p) for t, p in zip(total, smoothed(lambda x, h=r[3]: x[3] == h, domain, language.HOST_WEIGHT), strict=True)]
+        for at in (2, 5):
+            if r[at] is not None and any(x[at] == r[at] for _, x in told):
+                own = Counter(b for b, x in told if x[at] == r[at])
+                total = [t + math.log((own[i] + 1) / (root[i] + 100)) for i, t in enumerate(total)]
+        place = total.index(max(total))
+        sure = 1 / sum(math.exp(t - max(total)) for t in total)
+        out[r[0]] = (names[place], sure, score[place] > language.LEAST_TEXT and sure >= language.CONFIDENCE)
+    return out
+
+
+def test_language_brute_force(spark):
+    """Languages, confidences and verdicts equal a plain posterior over text, declaration, suffix, domain and host."""
+    rng = random.Random(11)
+    say = {"en": "the and with that from this have were which would".split(), "de": "und der nicht eine \u00fcber auch werden k\u00f6nnen m\u00fcssen sch\u00f6n".split(), "fr": "les des une dans pour \u00eatre avec tr\u00e8s cela o\u00f9".split()}
+    hosts = {"en": ["www.a.co.uk", "b.com", "m.a.co.uk"], "de": ["www.x.de", "y.x.de", "b.com"], "fr": ["z.fr", "plain", "b.com"]}
+    rows = []
+    for i in range(160):
+        lang = rng.choice(list(say))
+        words = [rng.choice(say[lang if rng.random() < 0.9 else "en"]) for _ in range(rng.choice((1, 2, 5, 25)))]
+        rows.append((i, " ".join(words), lang if rng.random() < 0.8 else rng.choice(["en", None, "xx"]), rng.choice(hosts[lang]) if rng.random() < 0.9 else None))
+    rows += [(900, "12 3", "en", "b.com"), (901, "", None, None), (902, "zq xj", "de", "www.x.de"), (903, None, "fr", "z.fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = df.select("doc_id", language.domain_of(F.col("source")).alias("d"), language.suffix_of(F.col("source")).alias("s")).collect()
+    places = {r.doc_id: (r.d, r.s) for r in found}
+    assert {(h, *places[r[0]]) for r in rows for h in [r[3]] if h in ("www.a.co.uk", "y.x.de", "b.com", "plain")} == {("www.a.co.uk", "a.co.uk", "uk"), ("y.x.de", "x.de", "de"), ("b.com", "b.com", "com"), ("plain", None, None)}
+    want = brute_languages([(*r, *places[r[0]]) for r in rows])
+    got = {r.doc_id: r for r in language.of_documents(df).collect()}
+    assert len({w[0] for w in want.values()}) > 3
+    for i, (name, sure, kept) in want.items():
+        assert (got[i].language, got[i].language_kept) == (name, kept) and abs(got[i].language_confidence - sure) < 1e-3, (i, want[i], got[i])
+
+
 def test_pages(spark, folder):
     """Pages with broken addresses and markup have results."""
     assert language.language_of_pages(spark, folder).count() == 7
@@ -272,6 +384,25 @@ def test_decontamination(spark, folder, awkward, empty):
     assert decontaminate.leaks(empty, none).count() == 0
 
 
+def test_decontamination_blocks(spark, monkeypatch):
+    """Items in many blocks are found as in one, short items where their words stand in sequence, and columns of any name stay."""
+    rng = random.Random(18)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(25))) for i in range(12)] + [(50, "Alpha beta"), (51, "gamma"), (52, None), (53, "one two three four five six seven")]
+    docs = [(i, prose(rng, 40) + " " + items[i % 12][1] + " " + prose(rng, 20)) for i in range(24)]
+    docs += [(100, "x alpha, beta. y"), (101, "alpha x beta gamma"), (102, None), (103, "zero one two three four five six seven."), (104, "one two three four five six"), (105, "alpha")]
+    table = spark.createDataFrame([(*d, "old", "x") for d in docs], "doc_id long, text string, leaks string, found string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for most in (40_000, 40):
+        monkeypatch.setattr(decontaminate, "ITEM_WINDOWS", most)
+        rows = decontaminate.leaks(table, benchmark)
+        assert rows.columns == ["doc_id", "text", "leaks", "found"] or set(rows.columns) == {"doc_id", "text", "leaks", "found"}
+        rows = rows.collect()
+        assert len(rows) == len(docs) and all(r.found == "x" for r in rows)
+        got.append({(r.doc_id, x.item_id) for r in rows for x in r.leaks})
+    assert got[0] == got[1] == {(i, i % 12) for i in range(24)} | {(100, 50), (101, 51), (103, 53)}
+
+
 def _local_space(texts, items):
     """Weights, basis and item block of a small corpus, without Spark."""
     counts = np.zeros(decontaminate.SLOTS)
@@ -360,6 +491,33 @@ def test_secret_candidates():
         assert [c[3] for p in pieces(pa.array([text])) for c in secrets.candidates(p)] == values, text
 
 
+def test_secret_candidates_brute_force():
+    """The candidates of a piece are those that looking at every word by itself finds."""
+    rng = random.Random(7)
+    bits = ["password", "token:", "key", "is", "=", ":", "Bearer", "api_key=", "abc", "abcdefgh1", "x" * 20, "a1" * 12, "pwd=hunter2xx", "id=0123456789abcdef", '"secret":', "'s3cr3tpw99'", "http://a.b/c?token=abcdefgh12&k=v1v1v1v1", "AKIA0123456789ABCD", "12345678901234567", "\u00e9t\u00e9=motdepasse1", "a=b&password=longenough1", "-", "secret=", "authToken=zzzzzzzz9"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(400)]
+    got = [list(c) for p in pieces(pa.array(texts)) for c in secrets.candidates(p)]
+    want = []
+    for row, text in enumerate(texts):
+        words = text.split()
+        for i, word in enumerate(words):
+            for name, value in secrets.found_in(word, i > 0 and secrets.names_credential(words[max(0, i - 2) : i])):
+                want.append([row, i, name, value, words[max(0, i - secrets.AROUND) : i], words[i + 1 : i + 1 + secrets.AROUND]])
+    assert len(want) > 500 and got == want
+
+
+def test_secret_features():
+    """Features by hand."""
+    words = secrets.Dictionary({"river": 2, "stone": 2})
+    own = dict(zip(secrets._NAMES, secrets.describe("", "riverA1-stone", ["the", "token:"], ["commit"], words), strict=True))
+    assert own["length"] == 13 and own["digits"] == 1 / 13 and own["capitals"] == 1 / 13 and own["signs"] == 1 / 13 and own["changes"] == 4 / 13
+    assert own["covered"] == 10 / 13 and own["credential_before"] == 1 and own["harmless_after"] == 1 and own["assigned"] == 0 and own["hexadecimal"] == 0
+    pairs = ["ri", "iv", "ve", "er", "st", "to", "on", "ne"]
+    bits = lambda p: -math.log2(((1 if p in pairs else 0) + 0.5) / (8 + 500))
+    text = "rivera1-stone"
+    assert abs(own["surprise"] - sum(bits(text[i : i + 2]) for i in range(12)) / 12) < 1e-9
+
+
 def test_secret_dictionary(spark):
     """Every text counts: words that stand in two of 4,000 texts are in the dictionary, those of one text and parts of tokens are not."""
     rare = ["rare" + chr(97 + i) * 3 for i in range(20)]
