@@ -26,7 +26,9 @@ ADDRESS = ("_file", "_row")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose text is in one of the languages learnt."""
-    return language.of_documents(docs.select(*COLUMNS)).where("language_kept").select(*COLUMNS)
+    rows = addressed(docs)
+    judged = language.of_documents(rows, ADDRESS)
+    return attached(rows, store(judged.where("NOT language_kept").select(*ADDRESS), "rejected"), list(ADDRESS), "left_anti").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
