@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, digits to 0, white space collapsed), hashed,
 and counted per host over the distinct documents that hold them.  Lines in more
-than ``LINE_LIMIT`` documents of a host are removed; a document that keeps fewer
-than ``KEEP_SHARE`` of its words is depleted and rejected.
+than ``LEAST_DOCUMENTS`` documents and ``LINE_PERCENT`` percent of a host's documents
+are removed, so small and large hosts are judged alike; a document that keeps
+fewer than ``KEEP_SHARE`` of its words is depleted and rejected.
 
 The host is the source; a null source is a host of its own.  A null text has no
 words.  Each row is a document, so repeated rows count and are judged each by
@@ -21,8 +22,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-#: A line may stand in this many documents of a host.
-LINE_LIMIT = 200
+#: A line may stand in so many documents of a host, and in this percentage of them.
+LEAST_DOCUMENTS, LINE_PERCENT = 20, 10
 KEEP_SHARE = 0.5
 
 
@@ -68,11 +69,15 @@ def base(df: DataFrame, text: str = "text", source: str = "source", key: str = "
     )
 
 
-def judge(rows: DataFrame, limit: int = LINE_LIMIT, share: float = KEEP_SHARE) -> DataFrame:
+def judge(rows: DataFrame, least: int = LEAST_DOCUMENTS, percent: int = LINE_PERCENT, share: float = KEEP_SHARE) -> DataFrame:
     """Add n_removed_lines, n_removed_words, base_failed and kept; ``rows`` is base()'s table, stored."""
     host = F.col("source")
     each = rows.select("row", host, F.explode(F.array_distinct("lines")).alias("line")).select("row", "source", "line.h", "line.g")
-    frequent = each.groupBy("source", "h", "g").agg(F.count("*").alias("docs")).where(F.col("docs") > limit).select(F.col("source").alias("f_source"), F.col("h").alias("f_h"), F.col("g").alias("f_g"))
+    counts = each.groupBy("source", "h", "g").agg(F.count("*").alias("docs")).where(F.col("docs") > least).select(F.col("source").alias("f_source"), F.col("h").alias("f_h"), F.col("g").alias("f_g"), "docs")
+    hosts = rows.groupBy("source").agg(F.count("*").alias("all"))
+    frequent = counts.join(hosts, F.col("f_source").eqNullSafe(F.col("source"))).where(100 * F.col("docs") > percent * F.col("all")).select("f_source", "f_h", "f_g")
+    # Stored, so that both sides of the join are shuffles that adaptive execution can split where a line is very common.
+    frequent = store(frequent, "frequent")
     held = rows.select("row", host, F.explode("lines").alias("line")).select("row", "source", "line.h", "line.g", "line.n")
     removed = (
         held.join(frequent, (F.col("h") == F.col("f_h")) & (F.col("g") == F.col("f_g")) & F.col("source").eqNullSafe(F.col("f_source")))
@@ -104,7 +109,8 @@ covered AS (SELECT doc_id, sum(least({WINDOW}, coalesce(later - i, {WINDOW}))) A
 lines AS (SELECT doc_id, source, line, lower(trim(regexp_replace(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
   FROM (SELECT doc_id, source, unnest(string_split(body, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{word}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-frequent AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT doc_id) > {LINE_LIMIT}),
+hosts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
+frequent AS (SELECT l.source, l.norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.norm HAVING count(DISTINCT l.doc_id) > {LEAST_DOCUMENTS} AND 100 * count(DISTINCT l.doc_id) > {LINE_PERCENT} * any_value(h.n)),
 removed AS (SELECT doc_id, count(*) AS k, sum(len(string_split(l.norm, ' '))) AS n FROM lines l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
 counted AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(p.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,

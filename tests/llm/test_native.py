@@ -112,18 +112,20 @@ def test_seats(spark):
     assert got == {i: want[i] for i in range(len(quotas))}
 
 
-def test_line_rules(spark, awkward, empty, monkeypatch):
-    """Equal to SQL, with lines above the limit; depleted documents go."""
-    monkeypatch.setattr(line_rules, "LINE_LIMIT", 3)
+def test_line_rules(spark, awkward, empty):
+    """Equal to SQL, with lines above the limits; depleted documents go, and hosts of any size are judged alike."""
     common = "subscribe to our letter 12 today and every other day of the week, all of you who read this\n"
-    body = lambda i: " ".join(f"w{chr(97 + i)}x{chr(97 + j)}" for j in range(25))
-    rows = [(i, common.replace("12", str(i)) + body(i) * (i % 2), "s" if i < 8 else None) for i in range(12)]
-    rows += [(20, "a b c d e f g h " * 5, "s"), (21, "x\nx\n \nx", "t"), (22, None, "t"), (23, body(1) + "\n" + body(1), "t"), (24, "# $ & " + body(3), "t")]
+    body = lambda i: " ".join(f"w{chr(97 + i % 26)}x{chr(97 + j)}{i}" for j in range(25))
+    rows = [(i, common.replace("12", str(i)) + body(i) * (i % 2), "s" if i < 30 else None) for i in range(60)]
+    rows += [(100, "a b c d e f g h " * 5, "s"), (101, "x\nx\n \nx", "t"), (102, None, "t"), (103, body(1) + "\n" + body(1), "t"), (104, "# $ & " + body(3), "t")]
+    # In a large host the line stands in 25 of 300 documents: more than the least number, less than the share.
+    rows += [(1000 + i, (common if i < 25 else "") + body(i), "large") for i in range(300)]
     df = docs(spark, rows)
-    got = line_rules.judge(store(line_rules.base(df), "t"), limit=3)
+    got = line_rules.judge(store(line_rules.base(df), "t"))
     same(got, line_rules.sql_op8(), documents=df)
     kept = {r.doc_id: (r.kept, r.n_removed_lines) for r in got.collect()}
-    assert kept[1] == (True, 1) and kept[2] == (False, 1) and kept[20][0] is False and kept[24] == (True, 0)
+    assert kept[1] == (True, 1) and kept[2] == (False, 1) and kept[41] == (True, 1) and kept[100][0] is False and kept[104] == (True, 0)
+    assert all(kept[1000 + i] == (True, 0) for i in range(300))
     odd = line_rules.judge(store(line_rules.base(awkward), "t")).collect()
     assert len(odd) == 13 and all(not r.kept for r in odd if r.n_words == 0)
     assert line_rules.judge(store(line_rules.base(empty), "t")).count() == 0
