@@ -83,6 +83,23 @@ class Engine:
         df, table = self.catalog.read(name), self.catalog.get(name)
         return df.where(condition(df)) if callable(condition) else df.where(R.equals(df, str(table.key), condition))
 
+    def search_many(self, name: str, keys: list[int | float | str]) -> DataFrame:
+        """Rows whose key is one of some literals, in one scan; a key that occurs twice in the list counts once."""
+        df, table = self.catalog.read(name), self.catalog.get(name)
+        kind = df.schema[str(table.key)].dataType
+        return df.where(R.col(str(table.key)).isin([k for k in keys if comparable(kind, k)]))
+
+    def range_many(self, name: str, ranges: list[tuple]) -> DataFrame:
+        """Rows with the first and last key of each range (low, high) that holds them; a row comes once for each."""
+        df, table = self.catalog.read(name), self.catalog.get(name)
+        key = R.col(str(table.key))
+        wanted = [(low, high) for low, high in ranges if low <= high]
+        if not wanted:
+            return df.where("false").withColumns({"low": key, "high": key})
+        held = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in wanted])
+        span = key.between(min(r[0] for r in wanted), max(r[1] for r in wanted))  # what scans can skip by
+        return df.where(span).select("*", F.inline(F.filter(held, lambda r: key.between(r["low"], r["high"]))))
+
     def boxes(self, name: str) -> DataFrame:
         """The bounding-box hierarchy of a spatial table."""
         table, df = self.catalog.get(name), self.catalog.read(name)

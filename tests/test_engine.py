@@ -175,6 +175,17 @@ def test_files(spark, warehouse):
     assert e.catalog.read("heap").select("_metadata.file_name").distinct().count() == 5
 
 
+def test_many_searches(spark, warehouse):
+    """Many keys or ranges at once give what they give one by one."""
+    e = Engine(spark, warehouse, file_rows=20)
+    for index in ("SEQUENTIAL", "HASH", "BPLUSTREE"):
+        e.create_from(index.lower(), spark.createDataFrame([(i % 50, f"v{i}") for i in range(100)], "k int, v string"), index, "k")
+        assert rows(e.search_many(index.lower(), [3, 7, 3, 99, "x"])) == rows(e.query(f"SELECT * FROM {index.lower()} WHERE k BETWEEN 3 AND 7").where("k IN (3, 7)"))
+        got = rows(e.range_many(index.lower(), [(3, 5), (5, 6), (60, 70), (9, 1)]))
+        assert got == sorted(((k, f"v{k + 50 * j}", a, b) for a, b in ((3, 5), (5, 6)) for k in range(a, b + 1) for j in (0, 1)), key=repr)
+        assert e.range_many(index.lower(), []).count() == 0 == e.search_many(index.lower(), []).count()
+
+
 def test_appends_fit(spark, warehouse):
     """Mistyped rows are refused and change nothing; fitting ones are cast; a batch counts once; replaced versions stay readable."""
     e = Engine(spark, warehouse)
