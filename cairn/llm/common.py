@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,10 +60,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def trim(spark: SparkSession) -> None:
+    """Have the driver's JVM give back native memory that it has freed; what its many short-lived threads leave adds up over jobs.
+
+    Runs the JVM's own command of that name; a JVM without it is left alone.
+    """
+    java, new_array = spark._jvm.java.lang, spark.sparkContext._gateway.new_array
+
+    def array(kind: object, values: list) -> object:
+        out = new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    invoke = java.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(java.Class, [java.Class.forName(k) for k in kinds]))
+    command = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    try:
+        invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), array(java.Object, [command, "systemTrimNativeHeap", array(java.Object, []), array(java.String, [])]))
+    except Py4JJavaError:
+        return
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    trim(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
