@@ -21,7 +21,7 @@ def awkward(spark):
         (1, prose(rng, 120), "en", "a"), (2, None, "en", "a"), (3, "", "en", None), (4, " \n\t ", None, None), (5, long, "en", "b"), (6, long + " more", "en", "b"),
         (None, prose(rng, 60), "en", "b"), (None, None, None, None), (7, "one", "de", "b"), (7, "one", "de", "b"), (8, prose(rng, 70), "de", "c"), (8, prose(rng, 80), "de", "c"), (9, "é ñ ß x", "es", "c"),
     ]
-    extra = {c: "x" for c in ("shard", "size", "rep", "row", "words", "turn", "key", "n", "leaks_", "family", "rank", "anchor", "label", "payload")}
+    extra = {c: "x" for c in ("shard", "size", "rep", "row", "words", "turn", "key", "n", "leaks", "language", "_text", "_best", "_file", "_row", "found", "family", "rank", "anchor", "label", "payload")}
     return spark.createDataFrame([(*r, len(r[1] or ""), *extra.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
 
 
