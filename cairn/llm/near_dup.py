@@ -105,13 +105,17 @@ def chance(ratio: np.ndarray) -> np.ndarray:
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Similarity of each register row of a with each of b, less what chance collisions add."""
     used_a, used_b = a != EMPTY, b != EMPTY
-    same = np.zeros((len(a), len(b)), np.float32)
-    neither = np.zeros((len(a), len(b)), np.float32)
-    hollow = np.flatnonzero(~used_a.all(0) & ~used_b.all(0))
-    for j in range(BUCKETS):
-        same += a[:, j, None] == b[None, :, j]
-    for j in hollow:
-        neither += ~used_a[:, j, None] & ~used_b[None, :, j]
+    if len(a) * len(b) <= 1 << 12:
+        same = (a[:, None, :] == b[None, :, :]).sum(2)
+        neither = (~used_a[:, None, :] & ~used_b[None, :, :]).sum(2)
+    else:
+        same = np.zeros((len(a), len(b)), np.float32)
+        neither = np.zeros((len(a), len(b)), np.float32)
+        hollow = np.flatnonzero(~used_a.all(0) & ~used_b.all(0))
+        for j in range(BUCKETS):
+            same += a[:, j, None] == b[None, :, j]
+        for j in hollow:
+            neither += ~used_a[:, j, None] & ~used_b[None, :, j]
     more = chance(size_a[:, None] / size_b[None, :])
     return ((same - neither) / np.maximum(BUCKETS - neither, 1) - more) / (1 - more)
 
