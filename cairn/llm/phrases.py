@@ -291,7 +291,7 @@ def repeated(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataF
     first = store(segments.groupBy("anchor", "one", "two").agg(F.min("doc_id").alias("first")), "first")
     later = segments.join(first, ["anchor", "one", "two"])
     whole = later.where("doc_id > first").select(*ROW, "low", "n")
-    several = first.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("first").alias("high")).where("kinds > 1 AND low < high").select("anchor")
+    several = store(first.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("first").alias("high")).where("kinds > 1 AND low < high").select("anchor"), "several")
     apart = later.where("doc_id = first").join(several, "anchor", "left_semi").groupBy(*ROW).agg(F.collect_list(F.struct("low", "n")).alias("spans"), F.count("*").alias("weight"))
     each = attached(texts, store(apart, "apart"), list(ROW), weight="weight")
     each = store(each.mapInArrow(_windows(window), f"doc_id {kind}, _file long, text_hash long, one long, two long, low int"), "windows")
