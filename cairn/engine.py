@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.errors import AlreadyExists, EngineError
 from cairn.operators import relational as R
@@ -87,7 +88,11 @@ class Engine:
         """Rows whose key is one of some literals, in one scan; a key that occurs twice in the list counts once."""
         df, table = self.catalog.read(name), self.catalog.get(name)
         kind = df.schema[str(table.key)].dataType
-        return df.where(R.col(str(table.key)).isin([k for k in keys if comparable(kind, k)]))
+        wanted = [(k,) for k in dict.fromkeys(keys) if comparable(kind, k)]
+        if not wanted:
+            return df.where("false")
+        found = self.spark.createDataFrame(wanted, T.StructType([T.StructField(str(table.key), kind)]))
+        return df.join(F.broadcast(found), str(table.key), "left_semi")
 
     def range_many(self, name: str, ranges: list[tuple]) -> DataFrame:
         """Rows with the first and last key of each range (low, high) that holds them; a row comes once for each."""
@@ -96,9 +101,10 @@ class Engine:
         wanted = [(low, high) for low, high in ranges if low <= high]
         if not wanted:
             return df.where("false").withColumns({"low": key, "high": key})
-        held = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in wanted])
+        kind = df.schema[str(table.key)].dataType
+        found = self.spark.createDataFrame(wanted, T.StructType([T.StructField("low", kind), T.StructField("high", kind)]))
         span = key.between(min(r[0] for r in wanted), max(r[1] for r in wanted))  # what scans can skip by
-        return df.where(span).select("*", F.inline(F.filter(held, lambda r: key.between(r["low"], r["high"]))))
+        return df.where(span).join(F.broadcast(found), key.between(F.col("low"), F.col("high")))
 
     def boxes(self, name: str) -> DataFrame:
         """The bounding-box hierarchy of a spatial table."""
