@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval (operator 7).
 
 1. Document frequencies of hashed words over all documents give TF-IDF weights.
-2. A randomised SVD (Halko, Martinsson and Tropp 2011) of the passages of at most
-   ``SAMPLE`` documents, chosen by hash, and of all benchmark items gives the
-   latent space: tasks sum A^T(A Q) over their passages, the driver
+2. A randomised SVD (Halko, Martinsson and Tropp 2011) of the passages of all
+   documents and all benchmark items gives the latent space: tasks sum A^T(A Q)
+   over their passages, read as stored slots of words, and the driver
    orthogonalises ``SLOTS`` x ``RANK`` matrices of fixed size.
 3. Every document is searched: its windows of ``WINDOW`` words, from every word on,
    are compared by cosine with the windows of all items.  A window is passed over
@@ -37,12 +37,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, addressed, attached, bounded_batches, documents, scratch_path, store
+from cairn.llm.common import WORD, addressed, attached, bounded_batches, documents, forget, scratch_path, store
 from cairn.llm.shingles import Piece, mix, pieces, rolling
 
 SLOTS, RANK, EXTRA, ROUNDS = 1 << 14, 64, 8, 2
 WINDOW = 10
-SAMPLE, PARTS = 2000, 4
+#: Words, windows and slots that are handled at once, and words of a task that sums passages.
+BLOCK_WORDS, BLOCK_WINDOWS, BLOCK_SLOTS, PART_WORDS = 1 << 17, 1 << 13, 256, 1 << 23
 COSINE = 0.85
 RARE = 0.25
 LEAST_WORDS, ANSWER = 8, 8
@@ -58,37 +59,57 @@ def _slot(words: np.ndarray) -> np.ndarray:
     return (mix(words ^ _U(0x7)) & _U(SLOTS - 1)).astype(np.int64)
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """Texts that hold each slot, over all texts; the last entry counts the texts."""
+def hashed(texts: DataFrame) -> DataFrame:
+    """Each text's words as slots of two bytes; the passes over all words read these and no text."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(SLOTS + 1, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column("text"), bare=True):
-                row = np.repeat(np.arange(piece.high - piece.low), np.diff(piece.first))
-                sums += np.bincount(np.unique(row * SLOTS + _slot(piece.words)) % SLOTS, minlength=SLOTS + 1)
-                sums[SLOTS] += piece.high - piece.low
+                data = _slot(piece.words).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), piece.high - piece.low, [None, pa.py_buffer((2 * piece.first).astype(np.int32)), pa.py_buffer(data)])], names=["slots"])
+
+    return texts.mapInArrow(run, "slots binary")
+
+
+def _slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of a column of ``hashed``, end to end, and where each text's begin."""
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, np.uint16), np.zeros(len(column) + 1, np.int64)
+    wide = pa.types.is_large_binary(column.type)
+    first = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[first[0] : first[-1]]
+    return np.frombuffer(data.tobytes(), np.uint16), (first - first[0]) // 2
+
+
+def document_frequencies(slots: DataFrame) -> np.ndarray:
+    """Texts that hold each slot, over all texts; the last two entries count the texts and their words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SLOTS + 2, np.int64)
+        for batch in batches:
+            own, first = _slots(batch.column("slots"))
+            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            # Cut into blocks of whole texts, so that temporary arrays stay small.
+            cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(own), BLOCK_WORDS)), len(first) - 1))
+            for low, high in zip(first[cuts[:-1]].tolist(), first[cuts[1:]].tolist(), strict=True):
+                sums[:SLOTS] += np.bincount(np.unique(row[low:high] * SLOTS + own[low:high]) % SLOTS, minlength=SLOTS)
+            sums[SLOTS:] += len(first) - 1, len(own)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["slot", "n"])
 
-    out = np.zeros(SLOTS + 1, np.int64)
-    for r in texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS + 1 rows at most
+    out = np.zeros(SLOTS + 2, np.int64)
+    for r in slots.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS + 2 rows at most
         out[r.slot] = r.n
     return out
 
 
-def _windows(piece: Piece, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of each text's windows, the last one flush with its end, and their rows."""
-    begins, rows = [], []
-    for row, a, b in piece:
-        if b > a:
-            last = max(a, b - WINDOW)
-            own = np.arange(a, last + 1, stride)
-            own = own if own[-1] == last else np.append(own, last)
-            begins.append(own)
-            rows.append(np.full(len(own), row))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(begins), np.concatenate(rows)) if begins else (none, none)
+def _windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's windows, end to end and the last one flush with the text's end, begin and end."""
+    size = np.diff(first)
+    count = np.where(size > 0, -(-np.maximum(size - WINDOW, 0) // WINDOW) + 1, 0)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begins = np.repeat(first[:-1], count) + np.minimum(WINDOW * k, np.repeat(np.maximum(size - WINDOW, 0), count))
+    return begins, np.minimum(begins + WINDOW, np.repeat(first[1:], count))
 
 
 def _spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,45 +125,86 @@ def _project(slots: np.ndarray, first: np.ndarray, idf: np.ndarray, basis: np.nd
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def _sum_rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at].sum(1), one column of ``at`` at a time."""
+    out = values[at[:, 0]]
+    other = np.empty_like(out)
+    for j in range(1, at.shape[1]):
+        np.take(values, at[:, j], axis=0, out=other, mode="clip")
+        out += other
+    return out
+
+
+def _add_rows(total: np.ndarray, slots: np.ndarray, values: np.ndarray, of: np.ndarray) -> None:
+    """total[slots] += values[of], where slots repeat and the last row of ``values`` is zero: eight rows of a slot at a time, then eight such sums."""
+    order = np.argsort(slots, kind="stable")
+    slots, of = slots[order], of[order]
+    while len(slots):
+        new = np.flatnonzero(np.diff(slots, prepend=-1))
+        size = np.diff(new, append=len(slots))
+        parts = -(-size // 8)
+        at = np.full(8 * parts.sum(), len(values) - 1)
+        at[np.arange(len(slots)) + np.repeat(8 * (np.cumsum(parts) - parts) - new, size)] = of
+        sums, one = _sum_rows(values, at.reshape(-1, 8)), parts == 1
+        total[slots[new[one]]] += sums[np.repeat(one, parts)]
+        values = np.concatenate([sums[np.repeat(~one, parts)], np.zeros_like(sums[:1])])
+        slots, of = np.repeat(slots[new[~one]], parts[~one]), np.arange(len(values) - 1)
+
+
+def _gram(slots: np.ndarray, first: np.ndarray, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A^T(A q) / idf for texts given by their words' slots; ``q`` is weighted and has a row of zeros at its end."""
+    total = np.zeros((SLOTS, q.shape[1]))
+    begins, ends = _windows(first)
+    square = np.append(idf, 0).astype(np.float32) ** 2
+    for low in range(0, len(begins), BLOCK_WINDOWS):
+        own, end = begins[low : low + BLOCK_WINDOWS], ends[low : low + BLOCK_WINDOWS]
+        at = own[:, None] + np.arange(WINDOW)
+        inside = at < end[:, None]
+        at = np.where(inside, slots[np.minimum(at, len(slots) - 1)], SLOTS)
+        values = np.zeros((len(own) + 1, q.shape[1]), np.float32)
+        values[:-1] = _sum_rows(q, at) / np.maximum(square[at].sum(1), 1e-24)[:, None]
+        row, _ = np.nonzero(inside)
+        _add_rows(total, at[inside].astype(np.uint16).astype(np.int32), values, row)
+    return total
+
+
+def _weighted(q: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return np.concatenate([q * idf[:, None], np.zeros((1, q.shape[1]))]).astype(np.float32)
+
+
 def gram(column: pa.Array, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """A^T(A q), where the rows of A are the unit TF-IDF vectors of the column's windows, end to end."""
-    total = np.zeros(q.shape)
-    for piece in pieces(column, bare=True):
-        begins, rows = _windows(piece, WINDOW)
-        if not len(begins):
-            continue
-        ends = np.minimum(begins + WINDOW, piece.first[1:][rows - piece.low])
-        at, first = _spread(begins, ends)
-        slots = _slot(piece.words)[at]
-        weight = idf[slots]
-        weight = weight / np.repeat(np.maximum(np.sqrt(np.add.reduceat(weight**2, first)), 1e-12), ends - begins)
-        own = np.repeat(np.add.reduceat(q[slots] * weight[:, None], first, axis=0), ends - begins, axis=0) * weight[:, None]
-        for j in range(own.shape[1]):
-            total[:, j] += np.bincount(slots, own[:, j], SLOTS)
-    return total
+    weighted = _weighted(q, idf)
+    return sum((_gram(_slot(p.words), p.first, weighted, idf) for p in pieces(column, bare=True)), np.zeros(q.shape)) * idf[:, None]
 
 
-def latent_space(texts: DataFrame, items: DataFrame, idf: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
-    """SLOTS x RANK basis from a distributed randomised SVD."""
-    few = texts.select(F.xxhash64("text").alias("turn")).distinct().orderBy("turn").limit(sample)
-    chosen = texts.withColumn("turn", F.xxhash64("text")).join(F.broadcast(few), "turn").select("text").unionByName(items.select("text"))
-    chosen = store(chosen.repartition(PARTS), "passages")
+def latent_space(slots: DataFrame, words: int, idf: np.ndarray) -> np.ndarray:
+    """SLOTS x RANK basis from a distributed randomised SVD of all passages of ``slots``, which have so many words."""
+    parts = max(1, -(-words // PART_WORDS))
 
     def summed(basis: np.ndarray) -> np.ndarray:
-        shared = texts.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
+        shared = slots.sparkSession.sparkContext.broadcast(_weighted(basis, idf))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((SLOTS, basis.shape[1]))
+            total = np.zeros(basis.shape)
+            for batch in batches:
+                total += _gram(*_slots(batch.column("slots")), shared.value, idf)
+            at = np.arange(0, SLOTS, BLOCK_SLOTS)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([total[i : i + BLOCK_SLOTS].astype(np.float32).tobytes() for i in at], pa.binary())], names=["at", "total"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                total += gram(batch.column("text"), shared.value, idf)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["total"])
+                for i, part in zip(batch.column("at").to_pylist(), batch.column("total"), strict=True):
+                    sums[i] = sums.get(i, 0) + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["at", "total"])
 
-        parts = chosen.coalesce(PARTS).mapInArrow(run, "total binary").collect()  # PARTS matrices at most
+        each = slots.coalesce(parts).mapInArrow(run, "at int, total binary").repartition("at")
         total = np.zeros(basis.shape)
-        for part in parts:
-            total += np.frombuffer(part.total, np.float32).reshape(SLOTS, -1)
+        for r in each.mapInArrow(merge, "at int, total binary").collect():  # one matrix, whatever the number of tasks
+            total[r.at : r.at + BLOCK_SLOTS] = np.frombuffer(r.total, np.float32).reshape(-1, basis.shape[1])
         shared.destroy()
-        return total
+        return total * idf[:, None]
 
     basis = np.linalg.qr(np.random.Generator(np.random.PCG64(11)).standard_normal((SLOTS, RANK + EXTRA)))[0]
     for _ in range(ROUNDS):
@@ -405,9 +467,12 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
     bounded_batches(df.sparkSession)
     texts = df.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer")).where("text IS NOT NULL")
-    counts = document_frequencies(texts)
+    slots, passages = store(hashed(texts), "slots"), store(hashed(items.select("text")), "slots")
+    counts = document_frequencies(slots)
     idf = np.log((1 + counts[SLOTS]) / (1 + counts[:SLOTS])).astype(np.float32)
-    basis = latent_space(texts, items, idf)
+    basis = latent_space(slots.unionByName(passages), int(counts[SLOTS + 1]), idf)
+    forget(slots)
+    forget(passages)
     sc = df.sparkSession.sparkContext
     windows = F.greatest(F.regexp_count("text", F.lit(WORD)) - (WINDOW - 1), F.lit(1))
     blocks = max(1, -(-(items.agg(F.sum(windows)).first()[0] or 0) // ITEM_WINDOWS))

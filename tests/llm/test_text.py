@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -403,6 +404,62 @@ def test_decontamination_blocks(spark, monkeypatch):
     assert got[0] == got[1] == {(i, i % 12) for i in range(24)} | {(100, 50), (101, 51), (103, 53)}
 
 
+def test_decontamination_space_of_all_texts(spark):
+    """The latent space is that of the passages of all texts, not of some of them: cosines are those of a space made by hand."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(900)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(12, 40))) for _ in range(20)]
+    texts = [" ".join(rng.choice(vocabulary[k % 90 * 10 : k % 90 * 10 + 200]) for _ in range(rng.randint(3, 60))) for k in range(3000)]
+    texts += [prose(rng, 15) + " " + " ".join(f"new{rng.random()}" if k % 7 == 6 else w for k, w in enumerate(item.split())) for item in items]
+    counts = np.zeros(decontaminate.SLOTS)
+    for text in texts:
+        counts[np.unique(np.concatenate([decontaminate._slot(p.words) for p in pieces(pa.array([text]), bare=True)]))] += 1
+    idf = np.log((1 + len(texts)) / (1 + counts)).astype(np.float32)
+    product = lambda q: decontaminate.gram(pa.array(texts + items), q, idf)
+    basis = np.linalg.qr(np.random.Generator(np.random.PCG64(11)).standard_normal((decontaminate.SLOTS, decontaminate.RANK + decontaminate.EXTRA)))[0]
+    for _ in range(decontaminate.ROUNDS):
+        basis = np.linalg.qr(product(basis))[0]
+    values, vectors = np.linalg.eigh(basis.T @ product(basis))
+    basis = (basis @ vectors[:, np.argsort(values)[::-1][: decontaminate.RANK]]).astype(np.float32)
+    block = decontaminate.Items(list(range(len(items))), items, [None] * len(items), idf, basis)
+    want = {(i, x["item_id"]): x["cosine"] for i, found in enumerate(decontaminate.search(pa.array(texts), block, idf, basis)) for x in found}
+    rows = decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r.doc_id, x.item_id): x.cosine for r in rows.where(F.size("leaks") > 0).collect() for x in r.leaks}
+    assert len(want) >= 15 and min(want.values()) < 0.99
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_gram_by_hand():
+    """A^T(A q) is that of the windows' unit vectors, for texts shorter than a window, of a window and with a last one that overlaps."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (0, 1, 4, 9, 10, 11, 20, 25, 0, 3000)] + [None]
+    idf, q = np.random.default_rng(2).random(decontaminate.SLOTS).astype(np.float32), np.random.default_rng(3).standard_normal((decontaminate.SLOTS, 5))
+    want = np.zeros(q.shape)
+    for text in texts:
+        slots = np.concatenate([np.zeros(0, np.int64)] + [decontaminate._slot(p.words) for p in pieces(pa.array([text], pa.string()), bare=True)])
+        last = max(0, len(slots) - decontaminate.WINDOW)
+        for b in sorted({*range(0, last + 1, decontaminate.WINDOW), last}) if len(slots) else ():
+            own = slots[b : b + decontaminate.WINDOW]
+            unit = idf[own] / np.linalg.norm(idf[own])
+            for s, x in zip(own, unit, strict=True):
+                want[s] += x * (unit @ q[own])
+    assert np.allclose(decontaminate.gram(pa.array(texts), q, idf), want, atol=1e-4)
+
+
+def test_gram_memory():
+    """A piece of a megabyte takes some tens of megabytes, not hundreds."""
+    rng = random.Random(4)
+    column = pa.array([" ".join(f"w{rng.randrange(9000)}" for _ in range(17)) for _ in range(10_000)])
+    idf, q = np.ones(decontaminate.SLOTS, np.float32), np.ones((decontaminate.SLOTS, decontaminate.RANK + decontaminate.EXTRA), np.float32)
+    list(pieces(column, bare=True))  # what is kept for all pieces
+    tracemalloc.start()
+    decontaminate.gram(column, q, idf)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6
+
+
 def _local_space(texts, items):
     """Weights, basis and item block of a small corpus, without Spark."""
     counts = np.zeros(decontaminate.SLOTS)
