@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, addressed, attached, bounded_batches, documents, forget, scratch_path, store
+from cairn.llm.common import WORD, addressed, attached, bounded_batches, documents, forget, scratch_path, store, tidy
 from cairn.llm.shingles import Piece, mix, pieces, rolling
 
 SLOTS, RANK, EXTRA, ROUNDS = 1 << 14, 64, 8, 2
@@ -68,7 +68,7 @@ def hashed(texts: DataFrame) -> DataFrame:
                 data = _slot(piece.words).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), piece.high - piece.low, [None, pa.py_buffer((2 * piece.first).astype(np.int32)), pa.py_buffer(data)])], names=["slots"])
 
-    return texts.mapInArrow(run, "slots binary")
+    return texts.mapInArrow(tidy(run), "slots binary")
 
 
 def _slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +88,17 @@ def document_frequencies(slots: DataFrame) -> np.ndarray:
         sums = np.zeros(SLOTS + 2, np.int64)
         for batch in batches:
             own, first = _slots(batch.column("slots"))
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             # Cut into blocks of whole texts, so that temporary arrays stay small.
             cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(own), BLOCK_WORDS)), len(first) - 1))
-            for low, high in zip(first[cuts[:-1]].tolist(), first[cuts[1:]].tolist(), strict=True):
-                sums[:SLOTS] += np.bincount(np.unique(row[low:high] * SLOTS + own[low:high]) % SLOTS, minlength=SLOTS)
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                row = np.repeat(np.arange(high - low), np.diff(first[low : high + 1]))
+                sums[:SLOTS] += np.bincount(np.unique(row * SLOTS + own[first[low] : first[high]]) % SLOTS, minlength=SLOTS)
             sums[SLOTS:] += len(first) - 1, len(own)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["slot", "n"])
 
     out = np.zeros(SLOTS + 2, np.int64)
-    for r in slots.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS + 2 rows at most
+    for r in slots.mapInArrow(tidy(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS + 2 rows at most
         out[r.slot] = r.n
     return out
 
@@ -199,9 +199,9 @@ def latent_space(slots: DataFrame, words: int, idf: np.ndarray) -> np.ndarray:
                     sums[i] = sums.get(i, 0) + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["at", "total"])
 
-        each = slots.coalesce(parts).mapInArrow(run, "at int, total binary").repartition("at")
+        each = slots.coalesce(parts).mapInArrow(tidy(run), "at int, total binary").repartition("at")
         total = np.zeros(basis.shape)
-        for r in each.mapInArrow(merge, "at int, total binary").collect():  # one matrix, whatever the number of tasks
+        for r in each.mapInArrow(tidy(merge), "at int, total binary").collect():  # one matrix, whatever the number of tasks
             total[r.at : r.at + BLOCK_SLOTS] = np.frombuffer(r.total, np.float32).reshape(-1, basis.shape[1])
         shared.destroy()
         return total * idf[:, None]

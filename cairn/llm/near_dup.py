@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import addressed, attached, bounded_batches, documents, forget, store
+from cairn.llm.common import addressed, attached, bounded_batches, documents, forget, store, tidy
 from cairn.llm.shingles import mix, pieces, shingle_sets
 
 BUCKETS, MANTISSA = 256, 10
@@ -150,7 +150,7 @@ def signed(texts: DataFrame, k: int, fold: bool, carry: tuple[str, ...] = ()) ->
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, small binary, large binary" + "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry))
+    return texts.mapInArrow(tidy(run), f"doc_id {kind}, n long, s1 long, s2 long, small binary, large binary" + "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, where: DataFrame, k: int, fold
     left = dealt.join(own.withColumnRenamed("doc_id", "a"), "a").select("b", "lot", F.lit(1).alias("tag"), F.col("a").alias("id"), "text")
     right = dealt.select("b", "lot").distinct().join(own.withColumnRenamed("doc_id", "b"), "b").select("b", "lot", F.lit(0).alias("tag"), F.col("b").alias("id"), "text")
     rows = left.unionByName(right).repartition("b", "lot").sortWithinPartitions("b", "lot", "tag")
-    return rows.mapInArrow(_confirmed(k, fold, percent), f"a {kind}, b {kind}").distinct()
+    return rows.mapInArrow(tidy(_confirmed(k, fold, percent)), f"a {kind}, b {kind}").distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
@@ -389,12 +389,12 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, fold: bool = T
     regs = store(regs.dropDuplicates(["rep", "s1", "s2", "n"]).select("rep", "n", "small", "large"), "registers")
     where = filled.select("doc_id", "_file")
 
-    keys = regs.select("rep", "small", "large").mapInArrow(_bands, f"key long, rep {kind}")
+    keys = regs.select("rep", "small", "large").mapInArrow(tidy(_bands), f"key long, rep {kind}")
     shared = store(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub <> far").select("key", "hub"), "shared")
     members = store(keys.join(shared, "key").select("key", "rep", "hub"), "members")
     stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     sided = lambda x: regs.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "small", "large")])
-    close = stars.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(_close(percent), f"a {kind}, b {kind}").distinct()
+    close = stars.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(tidy(_close(percent)), f"a {kind}, b {kind}").distinct()
     links = store(confirmed(store(close, "close"), texts, where, k, fold, percent), "links")
 
     rest = _rest(members, links, regs)
@@ -404,11 +404,11 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, fold: bool = T
         pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
         together = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
         dealt = dealt.withColumn("pair", pair).select("key", "pair.i", "pair.j", "block", "rep", "label", "keys", "n", "small", "large")
-        passing = store(together(dealt).mapInArrow(_passing(percent), dealt.schema), "passing")
+        passing = store(together(dealt).mapInArrow(tidy(_passing(percent)), dealt.schema), "passing")
         passing = passing.drop("keys")
         own = attached(texts, store(where.join(passing.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "needed"), ["doc_id"], "left_semi")
         carried = together(passing.join(own.withColumnRenamed("doc_id", "rep"), "rep"))
-        links = links.unionByName(carried.mapInArrow(_links(k, fold, percent), f"a {kind}, b {kind}"))
+        links = links.unionByName(carried.mapInArrow(tidy(_links(k, fold, percent)), f"a {kind}, b {kind}"))
     found = components(links, "component").withColumnRenamed("node", "rep")
     classed = rows.select("doc_id", "n", "s1", "s2", *carry).join(classes, ["s1", "s2", "n"], "left")
     joined = classed.join(found, "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
