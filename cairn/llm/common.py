@@ -8,12 +8,14 @@ a lost executor never loses them (``store``).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -28,6 +30,9 @@ SPACES = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 500_000
 
 
+#: The tables stored in the innermost ``passing`` block so far.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 #: Bytes of a batch that goes to a Python worker; rows may be long.
 BATCH_BYTES = 4 << 20
 
@@ -75,7 +80,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (paths := _PASSING.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def trim(spark: SparkSession) -> None:
@@ -108,12 +116,45 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored table that no later plan reads."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block at whose end the tables stored in it are deleted, but for those given to the function that it yields.
+
+    Those belong to the block around it, if there is one.  Shuffle files are
+    deleted as soon as the job that wrote them ends, so whatever is made in the
+    block has to be run there too.
+    """
+    outer, paths = _PASSING.get(), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        for path in [p for p in paths if p.rsplit("/", 1)[1] in names]:
+            paths.remove(path)
+            if outer is not None:
+                outer.append(path)
+        return df
+
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, token = spark.conf.get(cleanup), _PASSING.set(paths)
+    spark.conf.set(cleanup, "true")
+    try:
+        yield keep
+    finally:
+        _PASSING.reset(token)
+        spark.conf.set(cleanup, before)
+        for path in paths:
+            _delete(spark, path)
 
 
 def sized_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

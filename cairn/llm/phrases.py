@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import addressed, attached, bounded_batches, documents, store
+from cairn.llm.common import addressed, attached, bounded_batches, documents, forget, passing, store
 from cairn.llm.shingles import Piece, mix, pieces, powers, rolling
 
 WINDOW, PHRASE = 50, 20
@@ -280,25 +280,36 @@ def located(texts: DataFrame, anchors: DataFrame, phrases: DataFrame, window: in
 
 
 def repeated(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """doc_id, _file, text_hash and ``cut`` (begin, end, begin, end ... in words) of each text that loses words; ``df`` has doc_id, _file, text_hash, text."""
+    """doc_id, _file, text_hash and ``cut`` (begin, end, begin, end ... in words) of each text that loses words, stored; ``df`` has doc_id, _file, text_hash, text."""
     kind = df.schema["doc_id"].dataType.simpleString()
     texts = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select(*ROW, "text")
-    anchors = store(texts.select("doc_id", "_file", "text").mapInArrow(_anchors(window, phrase), f"doc_id {kind}, _file long, anchor long"), "anchors")
-    phrases = confirmed(texts, anchors, window, phrase)
-    segments = store(located(texts, anchors, phrases, window, phrase), "segments")
-
-    # Stored, so that both sides of the next join are shuffles that adaptive execution can split where a passage is very common.
-    first = store(segments.groupBy("anchor", "one", "two").agg(F.min("doc_id").alias("first")), "first")
-    later = segments.join(first, ["anchor", "one", "two"])
-    whole = later.where("doc_id > first").select(*ROW, "low", "n")
-    several = store(first.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("first").alias("high")).where("kinds > 1 AND low < high").select("anchor"), "several")
-    apart = later.where("doc_id = first").join(several, "anchor", "left_semi").groupBy(*ROW).agg(F.collect_list(F.struct("low", "n")).alias("spans"), F.count("*").alias("weight"))
-    each = attached(texts, store(apart, "apart"), list(ROW), weight="weight")
-    each = store(each.mapInArrow(_windows(window), f"doc_id {kind}, _file long, text_hash long, one long, two long, low int"), "windows")
-    least = store(each.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("one", "two", "first"), "least")
-    single = each.join(least, ["one", "two"]).where("doc_id > first").select(*ROW, "low", F.lit(1).alias("n"))
-    lost = whole.unionByName(single).groupBy(*ROW).agg(F.collect_list(F.struct("low", "n")).alias("spans"))
-    return lost.mapInArrow(_covered(window), f"doc_id {kind}, _file long, text_hash long, cut array<int>")
+    span, seen = F.struct("low", "n"), ["anchor", "one", "two"]
+    # Tables and shuffles go as soon as nothing reads them, so that disk holds one step's at a time.
+    with passing(df.sparkSession) as result:
+        with passing(df.sparkSession) as keep:
+            anchors = store(texts.select("doc_id", "_file", "text").mapInArrow(_anchors(window, phrase), f"doc_id {kind}, _file long, anchor long"), "anchors")
+            phrases = confirmed(texts, anchors, window, phrase)
+            segments = keep(store(located(texts, anchors, phrases, window, phrase), "segments"))
+
+        with passing(df.sparkSession) as keep:
+            first = store(segments.groupBy(*seen).agg(F.min("doc_id").alias("first")), "first")
+            several = first.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("first").alias("high")).where("kinds > 1 AND low < high")
+            # Stored, so that both sides of either join are shuffles that adaptive execution can split where a passage is very common.
+            several = store(several.select("anchor", F.lit(True).alias("several")), "several")
+            kinds = store(first.join(several, "anchor", "left"), "kinds")
+            later = segments.join(kinds, seen).where("doc_id > first OR several")
+            lists = F.collect_list(F.when(F.expr("doc_id > first"), span)).alias("lost"), F.collect_list(F.when(F.expr("doc_id = first"), span)).alias("spans")
+            marked = keep(store(later.groupBy(*ROW).agg(*lists), "marked"))
+        forget(segments)
+
+        with passing(df.sparkSession) as keep:
+            apart = store(marked.where(F.size("spans") > 0).select(*ROW, "spans", F.size("spans").alias("weight")), "apart")
+            each = attached(texts, apart, list(ROW), weight="weight")
+            each = keep(store(each.mapInArrow(_windows(window), f"doc_id {kind}, _file long, text_hash long, one long, two long, low int"), "windows"))
+        least = store(each.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("one", "two", "first"), "least")
+        single = each.join(least, ["one", "two"]).where("doc_id > first").select(*ROW, "low", F.lit(1).alias("n"))
+        lost = marked.select(*ROW, F.inline("lost")).unionByName(single).groupBy(*ROW).agg(F.collect_list(span).alias("spans"))
+        return result(store(lost.mapInArrow(_covered(window), f"doc_id {kind}, _file long, text_hash long, cut array<int>"), "cuts"))
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = True) -> DataFrame:
@@ -306,7 +317,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     bounded_batches(df.sparkSession)
     body = F.col(text).cast("string")
     rows = addressed(df.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash")))
-    cut = store(repeated(rows, window, phrase), "cuts")
+    cut = repeated(rows, window, phrase)
     joined = attached(rows, cut.withColumn("weight", F.size("cut")), list(ROW), "left", "weight").select("doc_id", "text", "cut")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_rewritten(with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
+import pathlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -187,6 +190,26 @@ def test_repeats(spark, corpus, awkward, empty, monkeypatch):
     assert phrases.remove_repeats(empty).count() == 0
 
 
+def test_repeats_disk(spark, corpus, tmp_path):
+    """Of all tables and shuffles only the stored result is left on disk; what was read and what was stored before stays."""
+    spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = common.addressed(spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("text_hash", F.xxhash64("text")))
+    other = common.store(spark.range(3), "other")
+    shared = common.shared_dir(spark).removeprefix("file://")
+    shuffles = lambda: {str(f) for d in spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString() for f in pathlib.Path(d).rglob("shuffle_*")}
+    tables, files, setting = set(os.listdir(shared)), shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    cut = phrases.repeated(rows)
+    assert cut.count() > 0
+    assert [x.split("-")[0] for x in set(os.listdir(shared)) - tables] == ["cuts"]
+    for _ in range(50):  # files go in the background; the count above has one or two of its own
+        if len(shuffles() - files) < 4:
+            break
+        time.sleep(0.2)
+    assert len(shuffles() - files) < 4
+    assert other.count() == 3 and rows.count() == len(corpus)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_quality_brute_force(spark):
     """Scores equal those of plain sequential updates over unhashed n-grams."""
     rng = random.Random(2)
