@@ -44,12 +44,16 @@ SLOTS, RANK, EXTRA, ROUNDS = 1 << 14, 64, 8, 2
 WINDOW = 10
 #: Words, windows and slots that are handled at once, and words of a task that sums passages.
 BLOCK_WORDS, BLOCK_WINDOWS, BLOCK_SLOTS, PART_WORDS = 1 << 17, 1 << 13, 256, 1 << 23
+#: Rows that are summed, and bytes of text that are hashed, at once: what these touch stays in a core's cache.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 10, 1 << 17
+#: Blocks of windows that are summed in single precision.
+PART_BLOCKS = 16
 COSINE = 0.85
 RARE = 0.25
 LEAST_WORDS, ANSWER = 8, 8
 COPY, PARAPHRASE, ANSWERED = 0.7, 0.5, 0.75
 ITEM_WINDOWS = 40_000
-_VOCABULARY_BITS, _ITEM_BITS = 22, 12
+_VOCABULARY_BITS, _ITEM_BITS, _SIEVE_BITS = 22, 12, 16
 
 _U = np.uint64
 _SHORT = 0xA24BAED4963EE407
@@ -64,7 +68,7 @@ def hashed(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column("text"), bare=True):
+            for piece in pieces(batch.column("text"), bare=True, size=BLOCK_BYTES):
                 data = _slot(piece.words).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), piece.high - piece.low, [None, pa.py_buffer((2 * piece.first).astype(np.int32)), pa.py_buffer(data)])], names=["slots"])
 
@@ -81,6 +85,18 @@ def _slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), np.uint16), (first - first[0]) // 2
 
 
+def _held(slots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Texts that hold each slot, for texts of so many slots end to end."""
+    sizes = sizes[sizes > 0]
+    kind = np.uint32 if len(sizes) * SLOTS <= 1 << 32 else np.uint64  # narrow ones are sorted faster
+    keys = np.repeat(np.arange(len(sizes), dtype=kind) * kind(SLOTS), sizes)
+    keys += slots
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.bincount((keys[new] & kind(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+
+
 def document_frequencies(slots: DataFrame) -> np.ndarray:
     """Texts that hold each slot, over all texts; the last two entries count the texts and their words."""
 
@@ -91,8 +107,7 @@ def document_frequencies(slots: DataFrame) -> np.ndarray:
             # Cut into blocks of whole texts, so that temporary arrays stay small.
             cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(own), BLOCK_WORDS)), len(first) - 1))
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                row = np.repeat(np.arange(high - low), np.diff(first[low : high + 1]))
-                sums[:SLOTS] += np.bincount(np.unique(row * SLOTS + own[first[low] : first[high]]) % SLOTS, minlength=SLOTS)
+                sums[:SLOTS] += _held(own[first[low] : first[high]], np.diff(first[low : high + 1]))
             sums[SLOTS:] += len(first) - 1, len(own)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["slot", "n"])
@@ -126,21 +141,24 @@ def _project(slots: np.ndarray, first: np.ndarray, idf: np.ndarray, basis: np.nd
 
 
 def _sum_rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """values[at].sum(1), one column of ``at`` at a time."""
-    out = values[at[:, 0]]
-    other = np.empty_like(out)
-    for j in range(1, at.shape[1]):
-        np.take(values, at[:, j], axis=0, out=other, mode="clip")
-        out += other
+    """values[at].sum(1), some rows and one column of ``at`` at a time."""
+    out = np.empty((len(at), values.shape[1]), values.dtype)
+    other = np.empty_like(out[:BLOCK_ROWS])
+    for low in range(0, len(at), BLOCK_ROWS):
+        own, columns = out[low : low + BLOCK_ROWS], np.ascontiguousarray(at[low : low + BLOCK_ROWS].T, np.intp)
+        np.take(values, columns[0], axis=0, out=own, mode="clip")
+        for column in columns[1:]:
+            np.take(values, column, axis=0, out=other[: len(own)], mode="clip")
+            own += other[: len(own)]
     return out
 
 
 def _add_rows(total: np.ndarray, slots: np.ndarray, values: np.ndarray, of: np.ndarray) -> None:
     """total[slots] += values[of], where slots repeat and the last row of ``values`` is zero: eight rows of a slot at a time, then eight such sums."""
-    order = np.argsort(slots, kind="stable")
+    order = np.argsort(slots, kind="stable")  # by radix, as slots have two bytes
     slots, of = slots[order], of[order]
     while len(slots):
-        new = np.flatnonzero(np.diff(slots, prepend=-1))
+        new = np.append(0, np.flatnonzero(slots[1:] != slots[:-1]) + 1)
         size = np.diff(new, append=len(slots))
         parts = -(-size // 8)
         at = np.full(8 * parts.sum(), len(values) - 1)
@@ -153,19 +171,23 @@ def _add_rows(total: np.ndarray, slots: np.ndarray, values: np.ndarray, of: np.n
 
 def _gram(slots: np.ndarray, first: np.ndarray, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """A^T(A q) / idf for texts given by their words' slots; ``q`` is weighted and has a row of zeros at its end."""
-    total = np.zeros((SLOTS, q.shape[1]))
+    total, part = np.zeros((SLOTS, q.shape[1])), np.zeros((SLOTS, q.shape[1]), np.float32)
     begins, ends = _windows(first)
+    slots = slots.astype(np.uint16, copy=False)
     square = np.append(idf, 0).astype(np.float32) ** 2
-    for low in range(0, len(begins), BLOCK_WINDOWS):
+    for k, low in enumerate(range(0, len(begins), BLOCK_WINDOWS)):
         own, end = begins[low : low + BLOCK_WINDOWS], ends[low : low + BLOCK_WINDOWS]
         at = own[:, None] + np.arange(WINDOW)
         inside = at < end[:, None]
-        at = np.where(inside, slots[np.minimum(at, len(slots) - 1)], SLOTS)
+        at = np.where(inside, slots[np.minimum(at, len(slots) - 1)], np.uint16(SLOTS))
         values = np.zeros((len(own) + 1, q.shape[1]), np.float32)
-        values[:-1] = _sum_rows(q, at) / np.maximum(square[at].sum(1), 1e-24)[:, None]
+        np.divide(_sum_rows(q, at), np.maximum(square[at].sum(1), 1e-24)[:, None], out=values[:-1])
         row, _ = np.nonzero(inside)
-        _add_rows(total, at[inside].astype(np.uint16).astype(np.int32), values, row)
-    return total
+        _add_rows(part, at[inside], values, row)
+        if k % PART_BLOCKS == PART_BLOCKS - 1:  # few sums are added in single precision
+            total += part
+            part.fill(0)
+    return total + part
 
 
 def _weighted(q: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -266,6 +288,8 @@ class Items:
         order = np.argsort(code, kind="stable")
         self.postings = np.concatenate(own)[order]
         self.at = np.searchsorted(code[order], np.arange((1 << _VOCABULARY_BITS) + 1)).astype(np.int32)
+        self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
+        self.sieve[code >> (_VOCABULARY_BITS - _SIEVE_BITS)] = True
         self.sizes, self.need, self.windows = n, need, np.array(counts, np.int64)
         each = _of_item(np.array([w for words in self.words for w in words], np.uint64), np.repeat(np.arange(len(n)), n))
         self.keys, self.times = np.unique(each, return_counts=True)
@@ -294,9 +318,10 @@ def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
 
 def _likely(piece: Piece, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Intervals (row in the piece, item, first window begin, after the last) where the rarest words allow a common subsequence of PARAPHRASE."""
-    code = (piece.words >> _U(64 - _VOCABULARY_BITS)).astype(np.int64)
+    place = np.flatnonzero(items.sieve[(piece.words >> _U(64 - _SIEVE_BITS)).astype(np.int64)])
+    code = (piece.words[place] >> _U(64 - _VOCABULARY_BITS)).astype(np.int64)
     size = items.at[code + 1] - items.at[code]
-    place = np.repeat(np.arange(len(code)), size)
+    place = np.repeat(place, size)
     item = items.postings[np.repeat(items.at[code] - (np.cumsum(size) - size), size) + np.arange(len(place))]
     order = np.argsort(item, kind="stable")
     place, item = place[order], item[order]
@@ -329,9 +354,13 @@ def _enough(piece: Piece, items: Items, row: np.ndarray, item: np.ndarray, low:
     n = items.sizes[item]
     begin, end = np.maximum(piece.first[row], low - n), np.minimum(piece.first[row + 1], high - 1 + WINDOW + n)
     place, _ = _spread(begin, end)
-    own = np.repeat(np.arange(len(row)), end - begin)
-    kept = items.has[item[own], (piece.words[place] >> _U(64 - _ITEM_BITS)).astype(np.int64)]
-    place, own = place[kept], own[kept]
+    code = np.repeat(item << _ITEM_BITS, end - begin)
+    code += (piece.words >> _U(64 - _ITEM_BITS)).astype(np.int64).take(place)
+    kept = np.flatnonzero(items.has.reshape(-1).take(code))
+    own = np.searchsorted(np.cumsum(end - begin), kept, "right")
+    # Intervals with fewer words of the item in all have no window with enough.
+    some = (np.bincount(own, minlength=len(row)) >= items.need[item])[own]
+    place, own = place[kept[some]], own[some]
     word = _of_item(piece.words[place], item[own])
     at = np.minimum(np.searchsorted(items.keys, word), len(items.keys) - 1)
     kept = items.keys[at] == word

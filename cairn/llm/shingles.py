@@ -92,12 +92,12 @@ def _layout(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8), offsets
 
 
-def pieces(column: pa.Array, fold: bool = False, bare: bool = False) -> Iterator[Piece]:
-    """The texts of an Arrow string column (null: no words); ``fold`` lower-cases A to Z, ``bare`` also ignores ASCII punctuation at a word's end."""
+def pieces(column: pa.Array, fold: bool = False, bare: bool = False, size: int = PIECE) -> Iterator[Piece]:
+    """The texts of an Arrow string column (null: no words), about ``size`` bytes at once; ``fold`` lower-cases A to Z, ``bare`` also ignores ASCII punctuation at a word's end."""
     data, offsets = _layout(column)
     table, low, n = (_BARE if bare else _FOLDED if fold else _BYTE), 0, len(column)
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PIECE, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
         high = min(high, n)
         own = data[offsets[low] : offsets[high]]
         at = offsets[low : high + 1] - offsets[low]

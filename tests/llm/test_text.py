@@ -470,6 +470,30 @@ def test_gram_by_hand():
     assert np.allclose(decontaminate.gram(pa.array(texts), q, idf), want, atol=1e-4)
 
 
+def test_held_slots():
+    """Texts per slot are those of the texts' sets of slots, with empty texts and with keys of either width."""
+    rng = np.random.default_rng(7)
+    for sizes in (rng.integers(0, 9, 500), np.append(np.ones((1 << 32) // decontaminate.SLOTS + 5, np.int64), [0, 700])):
+        slots = rng.integers(0, decontaminate.SLOTS, sizes.sum()).astype(np.uint16)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        want = np.bincount(np.unique(np.stack([row, slots]), axis=1)[1], minlength=decontaminate.SLOTS)
+        assert (decontaminate._held(slots, sizes) == want).all()
+
+
+def test_search_work(monkeypatch):
+    """Around a few of an item's words no word is looked up where all of them are too few; the item's copies are found all the same."""
+    rng = random.Random(12)
+    items = [" ".join(f"i{k}w{j}" for j in range(40)) for k in range(8)]
+    few = [prose(rng, 100) + " " + " ".join(rng.sample(items[k % 8].split(), 12)) + " " + prose(rng, 100) for k in range(200)]
+    texts = [*few, *(prose(rng, 30) + " " + item for item in items)]
+    idf, basis, block = _local_space(texts, items)
+    looked, real = [], decontaminate._of_item
+    monkeypatch.setattr(decontaminate, "_of_item", lambda words, item: looked.append(len(words)) or real(words, item))
+    found = decontaminate.search(pa.array(texts), block, idf, basis)
+    assert [[x["item_id"] for x in own] for own in found] == [[]] * 200 + [[k] for k in range(8)]
+    assert 8 * 40 <= sum(looked) < 8 * 40 + 200
+
+
 def test_gram_memory():
     """A piece of a megabyte takes some tens of megabytes, not hundreds."""
     rng = random.Random(4)
