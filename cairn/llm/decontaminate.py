@@ -53,7 +53,7 @@ RARE = 0.25
 LEAST_WORDS, ANSWER = 8, 8
 COPY, PARAPHRASE, ANSWERED = 0.7, 0.5, 0.75
 ITEM_WINDOWS = 40_000
-_VOCABULARY_BITS, _ITEM_BITS, _SIEVE_BITS = 22, 12, 16
+_VOCABULARY_BITS, _ITEM_BITS, _SIEVE_BITS = 22, 12, 18
 
 _U = np.uint64
 _SHORT = 0xA24BAED4963EE407
@@ -290,6 +290,8 @@ class Items:
         self.at = np.searchsorted(code[order], np.arange((1 << _VOCABULARY_BITS) + 1)).astype(np.int32)
         self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self.sieve[code >> (_VOCABULARY_BITS - _SIEVE_BITS)] = True
+        self.any = np.zeros(1 << _SIEVE_BITS, bool)
+        self.any[(np.array([w for words in self.words for w in words], np.uint64) >> _U(64 - _SIEVE_BITS)).astype(np.int64)] = True
         self.sizes, self.need, self.windows = n, need, np.array(counts, np.int64)
         each = _of_item(np.array([w for words in self.words for w in words], np.uint64), np.repeat(np.arange(len(n)), n))
         self.keys, self.times = np.unique(each, return_counts=True)
@@ -353,7 +355,10 @@ def _enough(piece: Piece, items: Items, row: np.ndarray, item: np.ndarray, low:
     """
     n = items.sizes[item]
     begin, end = np.maximum(piece.first[row], low - n), np.minimum(piece.first[row + 1], high - 1 + WINDOW + n)
-    place, _ = _spread(begin, end)
+    known = items.any.take((piece.words >> _U(64 - _SIEVE_BITS)).astype(np.int64))  # no item has the others
+    before = np.append(0, np.cumsum(known))
+    begin, end = before[begin], before[end]
+    place = np.flatnonzero(known).take(_spread(begin, end)[0])
     code = np.repeat(item << _ITEM_BITS, end - begin)
     code += (piece.words >> _U(64 - _ITEM_BITS)).astype(np.int64).take(place)
     kept = np.flatnonzero(items.has.reshape(-1).take(code))
@@ -442,7 +447,7 @@ def _in_sequence(piece: Piece, items: Items) -> Iterator[tuple[int, object]]:
 def search(column: pa.Array, items: Items, idf: np.ndarray, basis: np.ndarray) -> list[list[dict]]:
     """The items that each text holds."""
     out: list[list[dict]] = [[] for _ in range(len(column))]
-    for piece in pieces(column, bare=True):
+    for piece in pieces(column, bare=True, size=BLOCK_BYTES):
         for row, found in _in_sequence(piece, items):
             out[row].append({"item_id": found, "cosine": 1.0, "lcs": 1.0, "answer": 1.0})
         if not len(piece.words) or not len(items.ids):
@@ -488,7 +493,7 @@ def _searcher(block: Broadcast, weights: Broadcast):
             _PREPARED[name] = Items(*block.value, *weights.value)
         return pa.array(search(column, _PREPARED[name], *weights.value), pa.list_(_FOUND))
 
-    return run
+    return run.asNondeterministic()  # else a filter on what is found searches a second time
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
